@@ -1,0 +1,215 @@
+"""Operators over documents against plain versions, on awkward rows, an empty table and clashing columns."""
+
+import numpy as np
+import public_tokenizers
+import pytest
+from brute import crc, documents, op3, op5_base, op7, op9
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quarry.llm import packing, phrases, quality, queries, secrets, simhash, token_blocks
+
+DOCS = documents()
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("sf")
+    df = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "doc_id start", "'x' ids", "1L shard", "'s' source", "length(text) n_chars")
+    df.repartition(5).write.parquet(f"{d}/documents.parquet")
+    return str(d)
+
+
+@pytest.fixture(scope="module")
+def none(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("none")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    return str(d)
+
+
+def ids_of(name):
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    tok.encode_special_tokens = True
+    return {d: tok.encode(t or "", add_special_tokens=False).ids for d, t in DOCS}
+
+
+@pytest.mark.parametrize("name", ["op2_token_blocks", "op3_simhash_vptree", "op5_secret_links", "op7_quality_cascade", "op8_hierarchical_packing", "op9_phrase_automata"])
+def test_empty_table(spark, none, name):
+    assert queries.queries()[name](spark, none).count() == 0
+
+
+def test_token_blocks(spark, sf_dir):
+    want, start = set(), 0
+    for d, ids in sorted(ids_of("word_bpe_49k.json").items()):
+        ids = [*ids, 2]
+        want.add((d, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert {tuple(r) for r in queries.op2_token_blocks(spark, sf_dir).collect()} == want
+
+
+def test_token_segments_round_trip():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 127, 128, 129, 5000):
+        for high in (1, 2, 300, 49408, 2**32 - 1):
+            ids = r.integers(0, high, n, dtype=np.uint64).astype(np.uint32)
+            ids[r.random(n) < 0.03] = 2**31
+            s = token_blocks.Segment(token_blocks.write_segment([None, 4], [0, n], ids))
+            assert (s.ids() == ids).all() and s.doc_ids == [None, 4]
+            assert (s.ids(n // 3, n - n // 5) == ids[n // 3 : n - n // 5]).all()
+
+
+def test_segments_keep_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (1, None)], "doc_id long, text string")
+    rows = token_blocks.token_blocks(df, queries.WORD_BPE, "words", 2).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (1, 2, 1), (1, 3, 2), (1, 5, 2)]
+
+
+def test_simhash(spark, sf_dir):
+    assert {tuple(r) for r in queries.op3_simhash_vptree(spark, sf_dir).collect()} == op3(DOCS)
+
+
+def test_vantage_trees_lose_no_link():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 1500, dtype=np.uint64)
+    flips = np.array([sum(1 << int(k) for k in r.choice(64, r.integers(1, 6), replace=False)) for _ in range(900)], np.uint64)
+    fps = np.unique(np.concatenate([base, base[0] ^ flips, base[1:901] ^ flips]))
+    want = {(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3) if i < j}
+
+    def parts(edges):
+        p = list(range(len(fps)))
+
+        def root(i):
+            while p[i] != i:
+                p[i] = p[p[i]]
+                i = p[i]
+            return i
+
+        for a, b in edges:
+            p[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(len(fps))]
+
+    found = []
+    for seed, bits in ((7, simhash.LOW), (8, simhash.HIGH)):
+        tree, _ = simhash.build_tree(r.choice(fps, 1200, replace=False), bits, 1, 3, 60, seed)
+        routed = simhash.route(tree, fps)
+        assert sum(home.sum() for _, _, home in routed) == len(fps)
+        found += [(int(rows[a]), int(rows[b])) for _, rows, home in routed for a, b in simhash.leaf_links(fps[rows], home, 3, limit=200)]
+    assert parts(found) == parts(want)
+
+
+def test_near_groups_keep_one_of_near_copies(spark):
+    r = np.random.default_rng(1)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows, n = [], 0
+    for _ in range(40):
+        w = list(r.choice(vocab, 150))
+        for k in range(5):
+            v = list(w)
+            if k:
+                v[10 * k] = "edited"
+            rows.append((n, " ".join(v)))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "short text"), (n + 3, " ".join(r.choice(vocab, 150)))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {5 * k for k in range(40)} | {n, n + 2, n + 3}
+
+
+def test_secrets(spark, sf_dir):
+    got = {r.doc_id: r for r in queries.op5_secret_links(spark, sf_dir).collect()}
+    for d, t in DOCS:
+        r = got[d]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == op5_base(t), t
+    by_text = {t: got[d].spans for d, t in DOCS}
+    assert by_text["Zx9aa8bb7cc6dd5ee4 alone"] == ""
+    linked = by_text["login: bob99 host db.example.com:5432 with Zx9aa8bb7cc6dd5ee4 ok\n\nhttps://x.y/z alone"]
+    assert linked == "id:0:12,host:18:37,key:43:61"
+
+
+def test_secret_links_need_scope_and_reach():
+    weak = "user=alice99 " + "x " * 150 + "Zx9aa8bb7cc6dd5ee4"
+    assert secrets.linked_spans(weak, []) == []
+    assert secrets.linked_spans("user=alice99\n\nZx9aa8bb7cc6dd5ee4", []) == []
+    assert len(secrets.linked_spans("user=alice99\nZx9aa8bb7cc6dd5ee4", [])) == 2
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "a password=hunter22 b", 7), (2, None, 8), (3, "clean", 9)], "doc_id long, text string, spans long")
+    assert [tuple(r) for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == [(1, "a [REDACTED] b", 7), (2, None, 8), (3, "clean", 9)]
+
+
+def test_quality(spark, sf_dir):
+    got = {r.doc_id: r for r in queries.op7_quality_cascade(spark, sf_dir).collect()}
+    for d, t in DOCS:
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == op7(t), t
+        assert r.kept == (quality.first_failure(quality.Measures(t), list(quality.RULES)) is None)
+        assert not (r.base_failed and r.kept)
+
+
+def test_cascade_order_changes_no_verdict():
+    for _, t in DOCS:
+        assert (quality.first_failure(quality.Measures(t), list(quality.RULES)) is None) == (quality.first_failure(quality.Measures(t), list(quality.RULES)[::-1]) is None)
+    order = quality.order_rules([t for _, t in DOCS] * 3)
+    assert [x[2] / max(x[1], 1e-9) for x in order] == sorted((x[2] / max(x[1], 1e-9) for x in order), reverse=True)
+
+
+def test_packing(spark, sf_dir):
+    ids = {d: [*v, 0] for d, v in ids_of("byte_bpe_50k.json").items()}
+    rows = queries.op8_hierarchical_packing(spark, sf_dir).collect()
+    at, seqs = {}, {}
+    for r in rows:
+        assert crc(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        at.setdefault(r.doc_id, []).append((r.start, r.length))
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length, r.window, r.step))
+    for d, v in ids.items():
+        end = 0
+        for s, n in sorted(at[d]):
+            assert s == end and n > 0
+            end += n
+        assert end == len(v)
+    steps = {}
+    for pieces in seqs.values():
+        end = 0
+        for o, n, window, step in sorted(pieces):
+            assert o == end
+            end += n
+        assert end == window <= 1024 and window & (window - 1) == 0
+        steps.setdefault(step, []).append(window)
+    assert all(len(set(w)) == 1 and sum(w) <= 65_536 for w in steps.values())
+
+
+def test_packing_plan_is_whole():
+    r = np.random.default_rng(2)
+    for lengths in ([], [1], [1024], [700] * 50, r.integers(1, 3000, 2000).tolist(), [5] * 1000):
+        got = {}
+        for window, n, pieces in packing.plan_group(lengths):
+            assert n == window == sum(p[2] for p in pieces)
+            for i, a, k in pieces:
+                got.setdefault(i, []).append((a, k))
+        for i, n in enumerate(lengths):
+            assert sum(k for _, k in got[i]) == n and all(a + k == b for (a, k), (b, _) in zip(sorted(got[i]), sorted(got[i])[1:], strict=False))
+
+
+def test_phrases(spark, sf_dir):
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op9_phrase_automata(spark, sf_dir).collect()}
+    assert got == op9(DOCS)
+
+
+def test_phrases_with_repeated_ids(spark):
+    t = " ".join(f"u{i}" for i in range(30))
+    rows = phrases.repeated_words(spark.createDataFrame([(1, t), (1, t), (None, t), (2, "x")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 30), (1, 30), (2, 0)]
+
+
+def test_drop_repeats_keeps_columns(spark):
+    t = " ".join(f"u{i}" for i in range(30))
+    df = spark.createDataFrame([(1, "en", t, "s", 7), (2, "fr", f"a\nb {t} c", None, 8), (3, None, None, None, None)], "doc_id long, lang string, text string, source string, n_chars long")
+    out = phrases.drop_repeats(df)
+    assert out.columns == df.columns
+    assert [(r.lang, r.text, r.n_chars) for r in out.orderBy("doc_id").collect()] == [("en", t, 7), ("fr", "a b c", 5), (None, None, None)]
+
+
+def test_extra_columns_do_not_matter(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("fp", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    assert quality.quality_filter(df).columns == df.columns
+    assert simhash.simhash_components(df).columns == ["doc_id", "fp", "component_id"]
