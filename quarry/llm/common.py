@@ -7,11 +7,9 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_CACHE_LIMIT = 400_000
 TOKEN_CACHE_LIMIT = 700_000
 
 
@@ -67,23 +65,6 @@ def clean(df: DataFrame, key: str, *more: Column) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), *more)
 
 
-class HashCache(dict):
-    """word (bytes) -> 64-bit hash, for one worker, emptied when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE_LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-WORDS = HashCache()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
-
-
 def rolling(hashes: np.ndarray, width: int, mult: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A mixed 64-bit hash of every run of `width` items."""
     n = len(hashes) - width + 1

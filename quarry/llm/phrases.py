@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, clean, rolling, shuffle_partitions, word_hashes
+from .common import Stage, clean, rolling, shuffle_partitions
 
 WINDOW, PHRASE = 20, 6
 CODES, FIRST_CODE = 0xD7FF - 0x0800, 0x0800  # code points of one 16-bit unit that are no surrogates
@@ -38,10 +38,56 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+_seed = np.random.default_rng(20)
+BYTE = _seed.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x2545F4914F6CDD1D
+BLANKS = np.zeros(256, bool)
+BLANKS[[0x20, *range(0x09, 0x0E)]] = True
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n, kept for the worker."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
+            factors = np.full(n + n // 4, base, np.uint64)
+            factors[0] = 1
+            _powers[k] = np.multiply.accumulate(factors)
+    return _powers
+
+
+def byte_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every word of `raw` and a 64-bit hash of its bytes, all words at once."""
+    if not raw:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(BLANKS[data], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    up, down = powers(len(data))
+    total = BYTE[data]
+    total *= up[: len(data)]
+    np.cumsum(total, out=total)
+    before = np.where(start > 0, total[start - 1], np.uint64(0))
+    h = (total[end - 1] - before) * down[start]
+    h ^= (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, m in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(m)
+    return start, h ^ (h >> np.uint64(32))
+
+
 def code_points(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(CODES)).astype(np.uint16) + np.uint16(FIRST_CODE)
 
 
+def letters(codes: np.ndarray) -> str:
+    """Two letters of 256 for each code, from alphabets of their own: a node of an automaton has few children."""
+    out = np.empty((len(codes), 2), np.uint16)
+    out[:, 0] = (codes >> 8) + np.uint16(0x100)
+    out[:, 1] = (codes & 0xFF) + np.uint16(0x300)
+    return out.tobytes().decode("utf-16-le")
+
+
 def anchors(codes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> np.ndarray:
     """For every window, where its anchor phrase starts: the smallest phrase hash, the leftmost of equal ones."""
     h = rolling(codes.astype(np.uint64), phrase)
@@ -64,17 +110,27 @@ def windows(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[n
     return a, b
 
 
+def later(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndarray) -> np.ndarray:
+    """Which windows (a, b) equal an earlier one or a known one."""
+    a, b = np.concatenate([known_a, a]), np.concatenate([known_b, b])
+    order = np.lexsort((b, a))  # stable: known ones come first among equals, then by place
+    new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
+    out = np.empty(len(a), bool)
+    out[order] = ~new
+    return out[len(known_a) :]
+
+
 class Shard:
     """All texts of a shard in one run of words, so that every step is one array operation."""
 
     def __init__(self, texts: list[str | None]):
-        self.words = [split(t) for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.hashes = word_hashes([w for ws in self.words for w in ws])
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        at, self.hashes = byte_words(b"\n".join(raw))
+        begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        self.doc = np.searchsorted(begins, at, "right") - 1
+        self.starts = np.searchsorted(at, begins)
         self.codes = code_points(self.hashes)
         n = len(self.hashes) - WINDOW + 1
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.inside = self.doc[: max(n, 0)] == self.doc[WINDOW - 1 :] if n > 0 else np.empty(0, bool)
 
     def phrases(self) -> list[str]:
@@ -87,13 +143,14 @@ class Shard:
         """Starts of the windows whose anchor the automaton of `phrases` finds."""
         if not phrases or not len(self.inside):
             return np.empty(0, np.int64)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases:
-            automaton.add_word(p)
+        automaton, size = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), 2 * PHRASE
+        patterns = letters(np.frombuffer("".join(phrases).encode("utf-16-le"), np.uint16))
+        for i in range(0, len(patterns), size):
+            automaton.add_word(patterns[i : i + size])
         automaton.make_automaton()
         hit = np.zeros(len(self.codes), bool)
-        ends = np.fromiter((end for end, _ in automaton.iter(self.codes.tobytes().decode("utf-16-le"))), np.int64)
-        hit[ends - PHRASE + 1] = True
+        ends = np.fromiter((end for end, _ in automaton.iter(letters(self.codes))), np.int64)
+        hit[(ends + 1) // 2 - PHRASE] = True
         return np.flatnonzero(self.inside & hit[anchors(self.codes)])
 
 
@@ -128,17 +185,15 @@ def repeated_words(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n = max(shuffle_partitions(spark), -(-(total[0] or 0) // SHARD_WORDS))
     unique = total[1] == total[2]
     # all but the first of equal word sequences; where ids repeat, copies go through the shards like other texts
-    heads = base.where("long").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = stage.write(base.where("long").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     copies = stage.write((base.where("long").join(heads, "digest").where("doc_id > head") if unique else base.where("false")).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("shard")))
     dealt = shards_of(docs, n)  # one exchange, which all three passes below read
     as_copy = copies.select("shard", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).alias("b"), F.lit(None).cast("string").alias("p"))
 
-    def told(notes: pd.DataFrame) -> tuple[set, list[str], np.ndarray]:
+    def told(notes: pd.DataFrame) -> tuple[set, list[str], tuple[np.ndarray, np.ndarray]]:
         kind = notes["kind"].to_numpy()
-        mine = notes[kind == 2]
-        key = np.empty(len(mine), [("a", np.int64), ("b", np.int32)])
-        key["a"], key["b"] = mine["a"], mine["b"]
-        return set(notes["a"][kind == 0].tolist()), notes["p"][kind == 1].tolist(), key
+        a, b = notes["a"].to_numpy(np.int64), notes["b"].to_numpy(np.int32)
+        return set(a[kind == 0].tolist()), notes["p"][kind == 1].tolist(), (a[kind == 2], b[kind == 2])
 
     def count(key: tuple, pdf: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         found = Shard(_ordered(pdf, told(notes)[0])["text"].tolist()).phrases()
@@ -161,17 +216,15 @@ def repeated_words(docs: DataFrame, with_text: bool = False) -> DataFrame:
         s = Shard(pdf["text"].tolist())
         at = s.located(phrases)
         a, b = windows(s.hashes, at)
-        mine = np.empty(len(at), [("a", np.int64), ("b", np.int32)])
-        mine["a"], mine["b"] = a, b
         gone = np.zeros(len(s.hashes) + 1, np.int64)
         if len(at):
-            _, first, back = np.unique(mine, return_index=True, return_inverse=True)
-            late = (first[back] != np.arange(len(at))) | np.isin(mine, elsewhere)
+            late = later(a, b, *elsewhere)
             np.add.at(gone, at[late], 1)
             np.add.at(gone, at[late] + WINDOW, -1)
         gone = np.cumsum(gone)[:-1] > 0
         rows = []
-        for i, (doc, words) in enumerate(zip(pdf["doc_id"].tolist(), s.words, strict=True)):
+        for i, (doc, text) in enumerate(zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True)):
+            words = split(text)
             off = gone[s.starts[i] : s.starts[i + 1]]
             lost = int(off.sum())
             left = b" ".join([w for w, x in zip(words, off.tolist(), strict=True) if not x] if lost else words)
