@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, phrases, quality, secrets, simhash, token_blocks
+from . import embed_ego, packing, phrases, piece_samples, quality, reply_trees, secrets, simhash, token_blocks, url_templates
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_samples.sample_pieces(table(spark, sf_dir, "documents"), PIECES, k=2)
+    return found.select("doc_id", "sample", "n_tokens", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
 
 
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +30,12 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    return reply_trees.read_back(reply_trees.reply_conversations(reply_trees.chain_nodes(rows.unionByName(own))))
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,10 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op6_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_ego.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_measures(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -52,6 +68,10 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     out = {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
     if os.path.exists(os.path.join(os.path.dirname(__file__), "..", "..", "corpus_pipeline.py")):
