@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from array import array
+from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN_CACHE_LIMIT = 700_000
+TOKEN_CACHE_LIMIT = 1_000_000
+BLANK_THEN_SPACE = r" [\s\v\x1c-\x1f\x{85}\p{Z}]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,89 +104,149 @@ class CachedTokenizer:
 
     def __init__(self, path: str, mode: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
 
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.mode, self.blank = mode, re.compile(r" \s")
+        self.mode = mode
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() < 65536 else np.dtype("<u4")
         self.prefix, self.between = ("", f" {self.MARK} ") if mode == "words" else (" ", f"\n{self.MARK}\n")
         self.mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level merges print other bytes from U+0100 on
+        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printed)}
+        self.feed = np.array(self.tok.encode("\n", add_special_tokens=False).ids, self.kind).tobytes()
         self.stops = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in ".,"}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _text(self, word: str) -> str:
+        return word[1:] if word[:1] == "\n" else self.prefix + word
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Many words in one call, a mark that is a token of its own between them."""
+        out, merges, code = {}, self.tok.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        for w in words:
+            bare = w[1:] if w[:1] == "\n" else w
+            if self._plain(bare) and (self.mode == "bytes" or bare == bare.lower()):
+                # a run of letters is one unit of the merges, whose alphabet stands for bytes
+                raw = (bare if w is not bare else self.prefix + bare).encode().decode("latin-1").translate(self.alphabet)
+                out[w] = array(code, [t.id for t in merges(raw)]).tobytes()
+        words = [w for w in words if w not in out]
         odd = [w for w in words if not w or self.MARK in w or len(self.mark) != 1 or w[-1].isspace()]
-        out = dict(zip(odd, self._alone([self.prefix + w for w in odd]), strict=True))
+        out.update(zip(odd, self._alone([self._text(w) for w in odd]), strict=True))
         rest = [w for w in words if w not in out]
         gap = 0 if self.mode == "words" else 1
         for i in range(0, len(rest), 256):
             some = rest[i : i + 256]
-            ids = np.array(self.tok.encode_batch_fast([self.between.join([self.prefix + w for w in some])], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.tok.encode_batch_fast([self.between.join([self._text(w) for w in some])], add_special_tokens=False)[0].ids, self.kind)
             at = np.flatnonzero(ids == self.mark[0]).tolist()
             if len(at) != len(some) - 1:
-                out.update(zip(some, self._alone([self.prefix + w for w in some]), strict=True))
+                out.update(zip(some, self._alone([self._text(w) for w in some]), strict=True))
                 continue
+            raw, size = ids.tobytes(), self.kind.itemsize
             for w, a, b in zip(some, [0, *[x + 1 + gap for x in at]], [*[x - gap for x in at], len(ids)], strict=True):
-                out[w] = ids[a:b].tobytes()
+                out[w] = raw[a * size : b * size]
+        return out
+
+    def _parts(self, word: str) -> list[tuple[str, str]]:
+        """(stem, stop) of each line of a word; the stem of a later line has its line feed in front and no blank."""
+        lines = [word]
+        if self.mode == "bytes" and "\n" in word:
+            split = word.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in split):
+                lines = [split[0], *["\n" + x for x in split[1:]]]
+        out = []
+        for w in lines:
+            stop = w[-1] if len(w) > 1 and w[-1] in ".," and self._plain(w[1:-1] if w[0] == "\n" else w[:-1]) else ""
+            stem = w[:-1] if stop else w
+            if self.mode == "words":
+                stem = stem.lower() if stem.isascii() else normalize("NFC", stem).lower() if self._plain(stem) else stem
+            out.append((stem, stop))
         return out
 
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Letters only, of scripts that no version of Unicode treats otherwise."""
+        return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
     def _learn(self, seen: set[str]) -> None:
         if len(self.now) + len(seen) > TOKEN_CACHE_LIMIT:
             self.now, self.old = {}, self.now
-        now, old, fresh = self.now, self.old, []
-        for w in seen:
-            if w not in now:
-                if w in old:
-                    now[w] = old[w]
-                else:
-                    fresh.append(w)
-        split, stems = [], set()
+        now, old = self.now, self.old
+        fresh = seen.difference(now)
+        split, stops, lower = [], self.stops, self.mode == "words"
+        merges, code, lead = self.tok.model.tokenize, "H" if self.kind.itemsize == 2 else "I", "" if lower else chr(self.alphabet[32])
         for w in fresh:
-            stop = w[-1] if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() else ""
+            if w in old:
+                now[w] = old[w]
+                continue
+            stop = stops.get(w[-1:])
             stem = w[:-1] if stop else w
-            if self.mode == "words" and stem.isascii():
+            if not (stem.isascii() and stem.isalpha()):
+                split.append((w, self._parts(w)))
+                continue
+            if lower:
                 stem = stem.lower()
-            split.append((w, stem, stop))
-            if stem not in now:
-                stems.add(stem)
-        now.update(self._words(list(stems)))
-        for w, stem, stop in split:
-            now[w] = now[stem] + self.stops[stop] if stop else now[stem]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as little-endian unsigned integers."""
-        heads: list[str] = []
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if self.mode == "words":
-                parts.append(t.replace("\n", " ").split(" "))
-            elif self.blank.search(t):
-                parts.append(None)
+            ids = now.get(stem) or old.get(stem)
+            if ids is None:  # a run of plain letters: its bytes are its letters in the merges' alphabet
+                ids = array(code, [t.id for t in merges(lead + stem)]).tobytes()
+            now[stem] = ids
+            now[w] = ids + stop if stop else ids
+        stems = {stem for _, parts in split for stem, _ in parts}.difference(now)
+        made = {w: (self.feed + ids if w[:1] == "\n" and self.mode == "bytes" else ids) for w, ids in self._words(list(stems)).items()}
+        now.update(made)
+        for w, parts in split:
+            if len(parts) == 1:
+                stem, stop = parts[0]
+                now[w] = now[stem] + self.stops[stop] if stop else now[stem]
             else:
-                first, *rest = t.split(" ")
-                heads.append(first)
-                parts.append(rest)
-        self._learn(set().union(*(p for p in parts if p)))
-        lone, get, out, h = self._alone(heads), self.now.__getitem__, [], 0
-        whole = iter(self._alone([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        for p in parts:
-            if p is None:
-                raw = next(whole)
-            elif self.mode == "words":
-                raw = b"".join(map(get, p))
-            else:
-                raw = lone[h] + b"".join(map(get, p))
-                h += 1
-            out.append(np.frombuffer(raw, self.kind))
-        return out
+                now[w] = b"".join([now[stem] + self.stops[stop] if stop else now[stem] for stem, stop in parts])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's end. A null text is empty.
+
+        Words are split and numbered by Arrow; Python sees each distinct word of the batch once.
+        """
+        texts = pc.fill_null(texts, "")
+        if self.mode == "words":
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            whole = pc.match_substring_regex(texts, BLANK_THEN_SPACE)
+            lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        words, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        coded = words.dictionary_encode()
+        distinct, row = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(set(distinct))
+        ids = list(map(self.now.__getitem__, distinct))
+        if self.mode == "bytes":  # the first word has no blank before it; texts to be encoded whole stand in its place
+            first = [t if w else h for h, w, t in zip(words.take(pa.array(at[:-1])).to_pylist(), whole.to_pylist(), pc.if_else(whole, texts, "").to_pylist(), strict=True)]
+            row = row.copy()
+            row[at[:-1]] = len(ids) + np.arange(len(first))
+            for i in range(0, len(first), 1024):
+                ids += self._alone(first[i : i + 1024])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        held, start, n = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size, size[row]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(start[row] - ends[:-1], n)
+        place += np.arange(len(place))
+        return held[place], ends[at[1:]]
+
+    def batches(self, batches, size: int = 8_000_000):
+        """(keys, ids of each text) of Arrow batches of (key, text), up to about `size` bytes of text at a time."""
+        for batch in batches:
+            keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+                ids, at = self.encode(texts.slice(a, b - a))
+                yield keys.slice(a, b - a).to_pylist(), np.split(ids, at[:-1])
+                a = b
 
 
 def text_batches(batches, size: int = 2_000_000):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CachedTokenizer, clean, text_batches
+from .common import CachedTokenizer, clean
 
 TIERS = (1024, 512, 256, 128)
 
@@ -99,8 +99,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, mode: str, end_id: int, tier
                 n_seq += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:8]] + [pa.array(cols[8], pa.binary())], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-        for ids, texts in text_batches(batches):
-            for key, found in zip(ids, tok.encode(texts), strict=True):
+        for ids, encoded in tok.batches(batches):
+            for key, found in zip(ids, encoded, strict=True):
                 keys.append(key)
                 parts.append(np.concatenate([found.astype("<u4"), end]))
                 n += len(parts[-1])

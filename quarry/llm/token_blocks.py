@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CachedTokenizer, Stage, clean, shuffle_partitions, text_batches
+from .common import CachedTokenizer, Stage, clean, shuffle_partitions
 
 BLOCK = 128
 HEAD = struct.Struct("<4sIQIB")
@@ -138,8 +138,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, mode: str, end_id: int, segmen
             seg += 1
             return out
 
-        for ids, texts in text_batches(batches):
-            for key, found in zip(ids, tok.encode(texts), strict=True):
+        for ids, encoded in tok.batches(batches):
+            for key, found in zip(ids, encoded, strict=True):
                 keys.append(key)
                 parts += [found, end]
                 lengths.append(len(found) + 1)
