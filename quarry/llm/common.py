@@ -232,8 +232,9 @@ class CachedTokenizer:
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
         held, start, n = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size, size[row]
         ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.repeat(start[row] - ends[:-1], n)
-        place += np.arange(len(place))
+        kind = np.int32 if max(len(held), ends[-1]) < 2**31 else np.int64
+        place = np.repeat((start[row] - ends[:-1]).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
         return held[place], ends[at[1:]]
 
     def batches(self, batches, size: int = 8_000_000):

@@ -24,6 +24,7 @@ from .common import CachedTokenizer, Stage, clean, shuffle_partitions
 BLOCK = 128
 HEAD = struct.Struct("<4sIQIB")
 MAGIC = b"PFR1"
+BITS = np.frexp(np.arange(65_536.0))[1].astype(np.uint8)
 
 
 def pack_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -35,7 +36,7 @@ def pack_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.nda
     full = np.concatenate([ids, np.full(n * BLOCK - len(ids), ids[-1], np.uint32)]).reshape(n, BLOCK)
     low = full.min(axis=1)
     rest = full - low[:, None]
-    need = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    need = BITS[rest] if rest.max() < len(BITS) else np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     at = min(BLOCK - 1, max(0, int(np.ceil(share * BLOCK)) - 1))
     width = np.partition(need, at, axis=1)[:, at]
     out_of = need > width[:, None]
