@@ -1 +1 @@
-
+"""Relational operators of search and indexing."""

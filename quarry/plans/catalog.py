@@ -2,10 +2,364 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import metrics, text
+from quarry.operators import index
+from quarry.operators import search as find
+from quarry.operators.search import SearchQuery
+from quarry.plans import model
+
+WORD, VEC = "with", 7
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+ROOTS = "roots AS (SELECT DISTINCT CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS id, '/data/' || source AS path, source AS label, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 10 <> 9 AS active, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) + 1700000000 AS created_at FROM documents)"
+FILES = """files AS (SELECT doc_id AS id, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS root_id, lang || '/' || doc_id || '.' || mt AS rel_path, doc_id || '.' || mt AS filename, mt AS media_type, n_chars AS size_bytes,
+ (doc_id * 3600 + 1704067200) * 1000000000 AS mtime_ns, sha256(text) AS fingerprint, CASE WHEN doc_id % 29 = 0 THEN '' ELSE 'ext-v1' END AS model_version, CAST([0.5, 0.75, 1.0][doc_id % 3 + 1] AS FLOAT) AS confidence,
+ text AS extracted_text, lang AS lang_hint, doc_id % 5 AS index_marker, doc_id + 1704067200 AS indexed_at, CASE WHEN doc_id % 37 = 0 THEN 1800000000 END AS deleted_at
+ FROM (SELECT *, ['pdf', 'docx', 'xlsx', 'csv', 'txt', 'md', 'png', 'jpg'][doc_id % 8 + 1] AS mt FROM documents))"""
+CHUNKS = "chunks AS (SELECT vec_id AS id, vec_id // 5 AS file_id, 'chunk ' || vec_id || '. tail' AS text FROM embeddings)"
+
+
+def tokens_sql(c: str) -> str:
+    return f"list_filter(string_split_regex(lower(strip_accents({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+FEATURES = f"feats AS (SELECT id AS file_id, {' + '.join(f'len(list_filter({tokens_sql(c)}, lambda x: x = {chr(39)}{WORD}{chr(39)}))' for c in find.FTS_COLUMNS)} AS tf, {' + '.join(f'len({tokens_sql(c)})' for c in find.FTS_COLUMNS)} AS size FROM files)"
+STATS = "stats AS (SELECT count(*) AS n_docs, count(*) FILTER (tf > 0) AS n_hits, CAST(sum(size) AS BIGINT) AS total_size FROM feats)"
+FTS = """fts AS (SELECT *, row_number() OVER (ORDER BY bm25, file_id) AS fts_rank FROM (SELECT file_id, -greatest(ln((n_docs - n_hits + 0.5) / (n_hits + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (total_size / n_docs))) AS bm25
+ FROM feats, stats WHERE tf > 0 ORDER BY bm25, file_id LIMIT 50))"""
+NEAR = f"near AS (SELECT e.vec_id AS chunk_id, sqrt(list_sum([pow(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2) for i in range(1, len(e.embedding) + 1)])) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VEC}) q ORDER BY distance, chunk_id LIMIT 50)"
+VECS = "vec AS (SELECT *, row_number() OVER (ORDER BY distance, file_id) AS vec_rank FROM (SELECT file_id, min(distance) AS distance, arg_min(chunk_id, (distance, chunk_id)) AS best_chunk FROM near JOIN chunks ON chunk_id = chunks.id GROUP BY file_id))"
+FUSED = "fused AS (SELECT coalesce(fts.file_id, vec.file_id) AS file_id, coalesce(1.0 / (60 + fts_rank), 0) + coalesce(1.0 / (60 + vec_rank), 0) AS score, fts_rank, vec_rank FROM fts FULL JOIN vec ON fts.file_id = vec.file_id)"
+FOUND = "found AS (SELECT f.*, score, r.path || '/' || rel_path AS path, r.path AS root_path FROM fused JOIN files f ON f.id = file_id JOIN roots r ON r.id = root_id WHERE active AND deleted_at IS NULL)"
+HYBRID = ", ".join((ROOTS, FILES, CHUNKS, FEATURES, STATS, FTS, NEAR, VECS, FUSED, FOUND))
+HIT = "id AS file_id, path, round(score, 9) AS score"
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def hits(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").alias("file_id"), "path", F.round("score", 9).alias("score"))
+
+
+def hybrid(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    q = SearchQuery(WORD, **options)
+    return find.candidates(model.tables(spark, sf_dir), q, None if q.mode == "keyword" else model.query_vector(spark, sf_dir, VEC))
+
+
+@register("tokenize", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
+def tokenize(spark, d):
+    t = text.tokens("text")
+    return model.read(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@register("phrase_tf", f"WITH {FILES}, {FEATURES} SELECT file_id, CAST(tf AS BIGINT) AS tf, CAST(size AS BIGINT) AS size FROM feats")
+def phrase_tf(spark, d):
+    return find.phrase_features(model.files(spark, d), [WORD])
+
+
+@register("bm25_stats", f"WITH {FILES}, {FEATURES}, {STATS} SELECT * FROM stats")
+def bm25_stats(spark, d):
+    return find.corpus_stats(find.phrase_features(model.files(spark, d), [WORD]))
+
+
+@register("bm25_topk", f"WITH {FILES}, {FEATURES}, {STATS}, {FTS} SELECT file_id, round(bm25, 6) AS bm25, fts_rank FROM fts")
+def bm25_topk(spark, d):
+    return find.fts_ranks(model.files(spark, d), WORD).select("file_id", F.round("bm25", 6).alias("bm25"), F.col("fts_rank").cast("long").alias("fts_rank"))
+
+
+@register("knn_topk", f"WITH {NEAR} SELECT chunk_id, round(distance, 6) AS distance FROM near")
+def knn_topk(spark, d):
+    return find.nearest_chunks(model.vectors(spark, d), model.query_vector(spark, d, VEC)).select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@register("knn_collapse", f"WITH {CHUNKS}, {NEAR}, {VECS} SELECT file_id, round(distance, 6) AS distance, best_chunk, vec_rank FROM vec")
+def knn_collapse(spark, d):
+    v = find.vector_ranks(model.tables(spark, d), model.query_vector(spark, d, VEC))
+    return v.select("file_id", F.round("distance", 6).alias("distance"), "best_chunk", F.col("vec_rank").cast("long").alias("vec_rank"))
+
+
+@register("rrf_fusion", f"WITH {HYBRID} SELECT file_id, round(score, 9) AS score, fts_rank, vec_rank FROM fused")
+def rrf_fusion(spark, d):
+    t = model.tables(spark, d)
+    f = find.fuse(find.fts_ranks(t.files, WORD), find.vector_ranks(t, model.query_vector(spark, d, VEC)))
+    return f.select("file_id", F.round("score", 9).alias("score"), *(F.col(c).cast("long").alias(c) for c in ("fts_rank", "vec_rank")))
+
+
+KEYWORD = ", ".join((ROOTS, FILES, FEATURES, STATS, FTS, FOUND.replace("found AS (SELECT f.*, score", "found AS (SELECT f.*, 1.0 / (60 + fts_rank) AS score").replace("FROM fused", "FROM fts")))
+SEMANTIC = ", ".join((ROOTS, FILES, CHUNKS, NEAR, VECS, FOUND.replace("found AS (SELECT f.*, score", "found AS (SELECT f.*, 1.0 / (60 + vec_rank) AS score").replace("FROM fused", "FROM vec")))
+
+
+@register("keyword_search", f"WITH {KEYWORD} SELECT {HIT} FROM found ORDER BY found.score DESC, path LIMIT 50")
+def keyword_search(spark, d):
+    return hits(find.page(hybrid(spark, d, mode="keyword"), SearchQuery()))
+
+
+@register("mode_semantic", f"WITH {SEMANTIC} SELECT {HIT} FROM found")
+def mode_semantic(spark, d):
+    return hits(hybrid(spark, d, mode="semantic"))
+
+
+@register("mode_hybrid", f"WITH {HYBRID} SELECT {HIT} FROM found")
+def mode_hybrid(spark, d):
+    return hits(hybrid(spark, d))
+
+
+def filtered(name: str, where: str, **options) -> None:
+    register(name, f"WITH {HYBRID} SELECT {HIT} FROM found WHERE {where}")(lambda spark, d: hits(hybrid(spark, d, **options)))
+
+
+filtered("filter_media", "media_type IN ('pdf', 'md')", media_types=("PDF", "md"))
+filtered("filter_confidence", "confidence >= CAST(0.75 AS FLOAT)", min_confidence=0.75)
+filtered("filter_date_from", "mtime_ns >= 1704153600000000000", date_from="2024-01-02")
+filtered("filter_date_to", "mtime_ns <= (CAST(1704844800 AS BIGINT) + 86399) * 1000000000", date_to="2024-1-10")
+filtered("filter_bad_date", "true", date_from="yesterday")
+filtered("root_scope", "root_path IN ('/data/src1', '/data/src3')", root_scope=("SRC1", "src3"))
+filtered("filter_all", "media_type = 'txt' AND confidence >= 0.5 AND mtime_ns >= 1704153600000000000 AND root_path LIKE '/data/%'", media_types=("txt",), min_confidence=0.5, date_from="2024-01-02", root_scope=("data",))
+
+
+@register("total_count", f"WITH {HYBRID} SELECT count(*) AS total FROM found")
+def total_count(spark, d):
+    return hybrid(spark, d).agg(F.count("*").alias("total"))
+
+
+@register("page_offset", f"WITH {HYBRID} SELECT {HIT} FROM found ORDER BY found.score DESC, path LIMIT 10 OFFSET 10")
+def page_offset(spark, d):
+    return hits(find.page(hybrid(spark, d), SearchQuery(limit=10, offset=10)))
+
+
+@register("cursor_next", f"WITH {HYBRID} SELECT {HIT} FROM found ORDER BY found.score DESC, path LIMIT 10 OFFSET 10")
+def cursor_next(spark, d):
+    found = hybrid(spark, d)
+    last = find.page(found, SearchQuery(limit=10)).select("score", "path").tail(1)[0]
+    from quarry.functions.scalars import encode_cursor
+
+    return hits(find.page(found, SearchQuery(limit=10, cursor=encode_cursor(last.score, last.path))))
+
+
+@register("search_page")
+def search_page(spark, d):
+    """Full results with snippets; the snippet's windows are this engine's own, so there is no SQL twin."""
+    return find.search(model.tables(spark, d), SearchQuery(WORD, limit=20), model.query_vector(spark, d, VEC))
+
+
+@register("search_prefilter")
+def search_prefilter(spark, d):
+    t = model.tables(spark, d)
+    return hits(find.candidates(t, SearchQuery(WORD, media_types=("pdf",)), model.query_vector(spark, d, VEC), prefilter=True))
+
+
+@register("recent_files", f"WITH {ROOTS}, {FILES} SELECT f.id AS file_id, r.path || '/' || rel_path AS path, indexed_at, substr(extracted_text, 1, 20) AS head FROM files f JOIN roots r ON r.id = root_id WHERE active AND deleted_at IS NULL ORDER BY indexed_at DESC, f.id DESC LIMIT 8")
+def recent_files(spark, d):
+    r = find.recent_files(model.tables(spark, d), 20)
+    return r.join(model.files(spark, d).select(F.col("id").alias("fileId"), F.substring("extracted_text", 1, 20).alias("head")), "fileId").select(F.col("fileId").alias("file_id"), "path", F.col("indexedAt").alias("indexed_at"), "head")
+
+
+@register("active_roots", f"WITH {ROOTS} SELECT * FROM roots WHERE active ORDER BY created_at")
+def active_roots(spark, d):
+    return index.active_roots(model.roots(spark, d))
+
+
+JOBS = "SELECT event_id AS id, user_id AS root_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS done_at FROM events"
+
+
+def job_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = model.read(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("root_id"), F.when(F.col("event_id") % 3 == 0, "running").otherwise("completed").alias("status"), F.when(F.col("event_id") % 3 != 0, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")).alias("completed_at"))
+
+
+@register("completed_jobs", f"SELECT id, root_id, done_at AS completed_at FROM ({JOBS}) WHERE id % 3 <> 0 ORDER BY done_at DESC, id DESC LIMIT 50")
+def completed_jobs(spark, d):
+    return index.completed_jobs(job_rows(spark, d)).select("id", "root_id", "completed_at")
+
+
+@register("job_latest_state", "SELECT user_id AS job_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS last_id FROM events GROUP BY user_id")
+def job_latest_state(spark, d):
+    e = model.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "event_type", F.col("event_id").alias("last_id"))
+    return index.latest_jobs(e)
+
+
+@register("recover_jobs", "SELECT CASE WHEN event_id % 3 = 0 THEN 'interrupted' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY 1")
+def recover_jobs(spark, d):
+    return index.recover_jobs(job_rows(spark, d).withColumn("updated_at", F.lit(0).cast("long")), 5).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@register("chunk_text", """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 256) / 224.0)) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0)
+ SELECT doc_id AS file_id, k AS chunk_index, k * 224 AS start_token, least(k * 224 + 256, len(w)) AS end_token, md5(array_to_string(w[k * 224 + 1 : k * 224 + 256], ' ')) AS text_md5 FROM k""")
+def chunk_text(spark, d):
+    c = model.text_chunks(spark, d)
+    return c.select("file_id", *(F.col(x).cast("long").alias(x) for x in ("chunk_index", "start_token", "end_token")), F.md5("text").alias("text_md5"))
+
+
+@register("html_escape_mark", """SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5 FROM pages""")
+def html_escape_mark(spark, d):
+    return model.read(spark, d, "pages").select("page_id", F.md5(text.format_snippet("html")).alias("escaped_md5"))
+
+
+@register("media_type_detect", f"WITH {FILES} SELECT media_type, count(*) AS n FROM files GROUP BY 1")
+def media_type_detect(spark, d):
+    return model.files(spark, d).select(text.media_type(F.upper("filename")).alias("media_type")).groupBy("media_type").agg(F.count("*").alias("n"))
+
+
+@register("format_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n % 1024 = 0 AND n < 1048576 THEN (n // 1024) || ' KB' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' WHEN n % 1048576 = 0 THEN (n // 1048576) || ' MB' ELSE printf('%.1f', n / 1048576.0) || ' MB' END AS size FROM (SELECT doc_id, n_chars * 7 AS n FROM documents)")
+def format_bytes(spark, d):
+    return model.read(spark, d, "documents").select("doc_id", text.format_bytes(F.col("n_chars") * 7).alias("size"))
+
+
+@register("basename_dirname", f"WITH {FILES} SELECT id, filename AS base, lang_hint AS dir, upper(media_type) AS label FROM files WHERE media_type NOT IN ('docx', 'xlsx', 'txt', 'md', 'png', 'jpg')")
+def basename_dirname(spark, d):
+    f = model.files(spark, d).where(~F.col("media_type").isin("docx", "xlsx", "txt", "md", "png", "jpg"))
+    return f.select("id", text.basename("rel_path").alias("base"), text.dirname("rel_path").alias("dir"), text.media_label("media_type").alias("label"))
+
+
+@register("csv_to_kv", "SELECT user_id, string_agg('id: ' || event_id || ', type: ' || event_type, chr(10) ORDER BY event_id) AS kv FROM events GROUP BY user_id")
+def csv_to_kv(spark, d):
+    e = model.read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    lines = F.array_join(F.transform("e", lambda x: F.concat(x["event_id"].cast("string"), F.lit(", "), x["event_type"], F.lit(", "))), "\n")
+    return e.select("user_id", text.csv_pairs(F.concat(F.lit("id,type,none\n"), lines)).alias("kv"))
+
+
+@register("relative_time", "SELECT doc_id, CASE WHEN a < 60 THEN 'just now' WHEN a < 3600 THEN (a // 60) || 'm ago' WHEN a < 86400 THEN (a // 3600) || 'h ago' ELSE (a // 86400) || 'd ago' END AS age FROM (SELECT doc_id, doc_id * 37 AS a FROM documents WHERE doc_id < 10000)")
+def relative_time(spark, d):
+    return model.read(spark, d, "documents").where("doc_id < 10000").select("doc_id", text.relative_time(1_800_000_000 - F.col("doc_id") * 37, 1_800_000_000).alias("age"))
+
+
+@register("first_sentences")
+def first_sentences(spark, d):
+    return model.read(spark, d, "documents").select("doc_id", text.first_sentences("text").alias("head"))
+
+
+EVAL = "ev AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS grp, list_filter([item_id, item_id * 2, item_id + 5], lambda x: item_id % 7 <> 3) AS relevant, [item_id + 1, item_id * 2, item_id - 3, item_id, 11, item_id + 5, 3, 8, 9, 10, item_id] AS retrieved FROM benchmark)"
+IDEAL = "list_sum([3.0 / log2(i + 2.0) for i in range(0, least(len(relevant), 10))])"
+SCORED = f"""{EVAL}, sc AS (SELECT item_id, grp, relevant, CASE WHEN len(relevant) = 0 THEN 0.0 ELSE len(list_filter(retrieved[1:10], lambda x: list_contains(relevant, x))) / CAST(len(relevant) AS DOUBLE) END AS recall,
+ coalesce(1.0 / list_min([i for i in range(1, 12) if list_contains(relevant, retrieved[i])]), 0.0) AS mrr, CASE WHEN len(relevant) = 0 THEN 0.0 ELSE list_sum([CASE WHEN list_contains(relevant, retrieved[i]) THEN 3.0 / log2(i + 1.0) ELSE 0.0 END for i in range(1, 11)]) / {IDEAL} END AS ndcg FROM ev)"""
+
+
+def eval_rows(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    rel = F.filter(F.array(i, i * 2, i + 5), lambda x: i % 7 != 3)
+    ret = F.array(i + 1, i * 2, i - 3, i, *(F.lit(11).cast("long"), i + 5), *(F.lit(x).cast("long") for x in (3, 8, 9, 10)), i)
+    g = F.element_at(F.array(*map(F.lit, "ABC")), (i % 3 + 1).cast("int"))
+    return metrics.evaluate(model.read(spark, d, "benchmark").select("item_id", g.alias("group"), rel.alias("relevant"), ret.alias("retrieved")))
+
+
+@register("eval_metrics", f"WITH {SCORED} SELECT item_id, round(recall, 9) AS recall, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM sc")
+def eval_metrics(spark, d):
+    return eval_rows(spark, d).select("item_id", *(F.round(c, 9).alias(c) for c in ("recall", "mrr", "ndcg")))
+
+
+@register("eval_by_group", f"WITH {SCORED} SELECT coalesce(grp, 'all') AS grp, round(avg(recall), 9) AS recall, round(avg(mrr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg, count(*) AS n FROM sc WHERE len(relevant) > 0 GROUP BY GROUPING SETS ((grp), ())")
+def eval_by_group(spark, d):
+    return metrics.by_group(eval_rows(spark, d)).select(F.col("group").alias("grp"), *(F.round(c, 9).alias(c) for c in ("recall", "mrr", "ndcg")), "n")
+
+
+SNAP = """snap AS (SELECT root_id, CASE WHEN id % 17 = 0 THEN 'moved/' || rel_path ELSE rel_path END AS rel_path, CASE WHEN id % 13 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CASE WHEN id % 19 = 0 THEN mtime_ns + 1 ELSE mtime_ns END AS mtime_ns,
+ CASE WHEN id % 13 = 0 THEN sha256(extracted_text || '!') ELSE fingerprint END AS fingerprint FROM files WHERE deleted_at IS NULL AND id % 11 <> 0)"""
+RECONCILE = f"""{FILES}, {SNAP}, j AS (SELECT coalesce(s.root_id, f.root_id) AS root_id, coalesce(s.rel_path, f.rel_path) AS rel_path, f.id AS file_id, CASE WHEN s.rel_path IS NULL THEN 'gone' WHEN f.id IS NULL THEN 'new' WHEN s.mtime_ns = f.mtime_ns AND s.size_bytes = f.size_bytes THEN 'unchanged' WHEN s.fingerprint = f.fingerprint THEN 'touched' ELSE 'updated' END AS state,
+ CASE WHEN s.rel_path IS NULL THEN f.fingerprint ELSE s.fingerprint END AS content FROM snap s FULL JOIN (SELECT * FROM files WHERE deleted_at IS NULL) f ON s.root_id = f.root_id AND s.rel_path = f.rel_path),
+ n AS (SELECT *, row_number() OVER (PARTITION BY root_id, content ORDER BY rel_path) AS turn FROM j WHERE state = 'new'), g AS (SELECT *, row_number() OVER (PARTITION BY root_id, content ORDER BY rel_path) AS turn FROM j WHERE state = 'gone'),
+ actions AS (SELECT root_id, rel_path, file_id, state AS action FROM j WHERE state IN ('unchanged', 'touched', 'updated') UNION ALL SELECT coalesce(n.root_id, g.root_id), coalesce(n.rel_path, g.rel_path), g.file_id, CASE WHEN g.file_id IS NULL THEN 'added' WHEN n.rel_path IS NULL THEN 'deleted' ELSE 'moved' END FROM n FULL JOIN g ON n.root_id = g.root_id AND n.content = g.content AND n.turn = g.turn)"""
+
+
+def actions(spark: SparkSession, d: str) -> DataFrame:
+    return index.reconcile(model.files(spark, d), model.snapshot(spark, d))
+
+
+@register("reconcile_actions", f"WITH {RECONCILE} SELECT * FROM actions")
+def reconcile_actions(spark, d):
+    return actions(spark, d).select("root_id", "rel_path", "file_id", "action")
+
+
+@register("job_counts", f"WITH {RECONCILE} SELECT count(*) FILTER (action <> 'deleted') AS files_total, count(*) FILTER (action IN ('unchanged', 'touched', 'moved')) AS files_done, count(*) FILTER (action = 'added') AS files_added, count(*) FILTER (action = 'updated') AS files_updated, count(*) FILTER (action = 'moved') AS files_moved, count(*) FILTER (action = 'deleted') AS files_deleted, CAST(0 AS BIGINT) AS error_count FROM actions")
+def job_counts(spark, d):
+    return index.job_counts(actions(spark, d))
+
+
+@register("move_detection", f"WITH {RECONCILE} SELECT file_id, rel_path FROM actions WHERE action = 'moved'")
+def move_detection(spark, d):
+    return actions(spark, d).where("action = 'moved'").select("file_id", "rel_path")
+
+
+@register("sweep_deleted", f"WITH {FILES} SELECT id, CASE WHEN root_id = 3 AND index_marker <> 3 AND deleted_at IS NULL THEN 1900000000 ELSE deleted_at END AS deleted_at FROM files")
+def sweep_deleted(spark, d):
+    return index.sweep_deleted(model.files(spark, d), 3, 3, 1_900_000_000).select("id", "deleted_at")
+
+
+@register("upsert_files", f"""WITH {FILES}, {SNAP}, x AS (SELECT coalesce(f.id, (SELECT max(id) FROM files) + row_number() OVER (PARTITION BY f.id IS NULL ORDER BY s.root_id, s.rel_path)) AS id, coalesce(f.rel_path, s.rel_path) AS rel_path, coalesce(s.size_bytes, f.size_bytes) AS size_bytes, CASE WHEN s.rel_path IS NOT NULL THEN NULL ELSE f.deleted_at END AS deleted_at, coalesce(f.confidence, 1.0) AS confidence
+ FROM snap s FULL JOIN files f ON s.root_id = f.root_id AND s.rel_path = f.rel_path) SELECT id, rel_path, size_bytes, deleted_at, CAST(confidence AS DOUBLE) AS confidence FROM x""")
+def upsert_files(spark, d):
+    rows = model.snapshot(spark, d).withColumns({"filename": text.basename("rel_path"), "media_type": text.media_type("rel_path"), "model_version": F.lit(""), "index_marker": F.lit(9).cast("long"), "indexed_at": F.lit(9).cast("long")})
+    return index.upsert_files(model.files(spark, d), rows).select("id", "rel_path", "size_bytes", "deleted_at", F.col("confidence").cast("double").alias("confidence"))
+
+
+@register("replace_chunks", "SELECT vec_id // 5 AS file_id, count(*) AS n_chunks, CAST(count(*) FILTER ((vec_id // 5) % 4 <> 0 OR vec_id % 2 = 0) AS BIGINT) AS n_vectors FROM embeddings GROUP BY 1")
+def replace_chunks(spark, d):
+    chunks, vecs = model.vector_chunks(spark, d), model.vectors(spark, d)
+    new = chunks.where("file_id % 4 = 0").join(vecs.withColumnRenamed("chunk_id", "id"), "id").select((F.col("id") + 10_000_000).alias("id"), "file_id", "chunk_index", "text", F.when(F.col("id") % 2 == 0, F.col("embedding")).alias("embedding"))
+    c, v = index.replace_chunks(chunks, vecs, new)
+    return c.join(v.select(F.col("chunk_id").alias("id"), F.lit(1).alias("v")), "id", "left").groupBy("file_id").agg(F.count("*").alias("n_chunks"), F.count("v").alias("n_vectors"))
+
+
+@register("clear_root", f"WITH {FILES}, {CHUNKS} SELECT (SELECT count(*) FROM files WHERE root_id <> 3) AS files, (SELECT count(*) FROM chunks WHERE file_id NOT IN (SELECT id FROM files WHERE root_id = 3)) AS chunks, (SELECT count(*) FROM events WHERE user_id % 20 <> 3) AS index_jobs")
+def clear_root(spark, d):
+    jobs = model.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("root_id"))
+    log = jobs.select("id", "root_id", F.lit(None).cast("long").alias("file_id"), F.col("id").alias("job_id"))
+    out = index.clear_root({"files": model.files(spark, d), "chunks": model.vector_chunks(spark, d), "chunks_vec": model.vectors(spark, d), "index_jobs": jobs, "activity_log": log}, 3)
+    one = [out[k].agg(F.count("*").alias(k)) for k in ("files", "chunks", "index_jobs")]
+    return one[0].join(one[1]).join(one[2])
+
+
+@register("pending_files", f"WITH {FILES} SELECT id, rel_path, media_type FROM files WHERE model_version = '' AND deleted_at IS NULL")
+def pending_files(spark, d):
+    return index.pending(model.files(spark, d)).select("id", "rel_path", "media_type")
+
+
+@register("repo_confidence", f"WITH {FILES} SELECT id, CAST(CASE WHEN lang_hint = 'en' THEN confidence * 0.5 ELSE confidence END AS DOUBLE) AS confidence FROM files")
+def repo_confidence(spark, d):
+    f = model.files(spark, d)
+    marks = f.select("root_id").distinct().select("root_id", F.lit("en/package.json").alias("rel_path"))
+    return index.repo_confidence(f.select("id", "root_id", "rel_path", "confidence"), marks).select("id", F.col("confidence").cast("double").alias("confidence"))
+
+
+@register("duplicate_groups", f"WITH {FILES} SELECT root_id, fingerprint, count(*) AS n, min(id) AS first_id FROM files WHERE deleted_at IS NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_groups(spark, d):
+    f = model.files(spark, d).where("deleted_at is null").groupBy("root_id", "fingerprint").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return f.where("n > 1")
+
+
+@register("ocr_confidence", "SELECT user_id AS file_id, round(avg(value) FILTER (value >= 0.75), 6) AS confidence, count(*) FILTER (value >= 0.75) AS pages FROM events GROUP BY 1 HAVING count(*) FILTER (value >= 0.75) > 0")
+def ocr_confidence(spark, d):
+    return model.read(spark, d, "events").where("value >= 0.75").groupBy(F.col("user_id").alias("file_id")).agg(F.round(F.avg("value"), 6).alias("confidence"), F.count("*").alias("pages"))
+
+
+@register("progress_percent", "SELECT event_id, CAST(CASE WHEN event_id % 9 = 0 THEN 100 ELSE floor((event_id % 7) * 100.0 / 8 + 0.5) END AS BIGINT) AS percent FROM events")
+def progress_percent(spark, d):
+    i = F.col("event_id")
+    return model.read(spark, d, "events").select("event_id", text.progress_percent(i % 9 == 0, F.lit("discovering"), F.lit(8), i % 7, F.lit(0), F.lit(0)).alias("percent"))
+
+
+@register("recent_per_root", f"WITH {FILES} SELECT root_id, id FROM (SELECT root_id, id, row_number() OVER (PARTITION BY root_id ORDER BY indexed_at DESC, id DESC) AS r FROM files) WHERE r <= 3")
+def recent_per_root(spark, d):
+    w = Window.partitionBy("root_id").orderBy(F.desc("indexed_at"), F.desc("id"))
+    return model.files(spark, d).select("root_id", "id", F.row_number().over(w).alias("r")).where("r <= 3").drop("r")
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)

@@ -1 +1 @@
-
+"""Readers, extractors and model seams."""

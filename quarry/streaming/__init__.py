@@ -1 +1 @@
-
+"""Incremental indexing and progress."""
