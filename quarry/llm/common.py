@@ -41,6 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_holder: list = [None, None]
+
+
+def claim(name: str, release) -> None:
+    """One operator at a time keeps caches in a worker: those of the one before are released."""
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [name, release]
+
+
 class Stage:
     """Tables written to the shared folder, so that a lost executor costs a re-read and no recomputation."""
 
@@ -90,16 +101,19 @@ class CachedTokenizer:
     line feeds are encoded alone. mode "bytes": a blank opens a token and nothing joins across a blank
     that has no white space behind it; texts with a blank before white space are encoded whole.
     In both a run of letters and the punctuation behind it are tokens apart, so `word,` reuses `word`.
-    Strings that name special tokens are ordinary text. The cache keeps two generations of bounded size.
+    Strings that name special tokens are ordinary text. The cache keeps two generations of `limit` words at most, some
+    250 bytes each.
     """
 
     _made: dict[tuple[str, str], CachedTokenizer] = {}
     MARK = "\x01"
 
     @classmethod
-    def get(cls, path: str, mode: str) -> CachedTokenizer:
+    def get(cls, path: str, mode: str, limit: int = TOKEN_CACHE_LIMIT) -> CachedTokenizer:
+        claim("tokens", cls._made.clear)
         if (path, mode) not in cls._made:
             cls._made[path, mode] = cls(path, mode)
+        cls._made[path, mode].limit = limit
         return cls._made[path, mode]
 
     def __init__(self, path: str, mode: str):
@@ -109,7 +123,7 @@ class CachedTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.mode = mode
+        self.mode, self.limit = mode, TOKEN_CACHE_LIMIT
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() < 65536 else np.dtype("<u4")
@@ -174,7 +188,7 @@ class CachedTokenizer:
         return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
     def _learn(self, seen: set[str]) -> None:
-        if len(self.now) + len(seen) > TOKEN_CACHE_LIMIT:
+        if len(self.now) + len(seen) > self.limit:
             self.now, self.old = {}, self.now
         now, old = self.now, self.old
         fresh = seen.difference(now)
@@ -237,7 +251,7 @@ class CachedTokenizer:
         place += np.arange(len(place), dtype=kind)
         return held[place], ends[at[1:]]
 
-    def batches(self, batches, size: int = 8_000_000):
+    def batches(self, batches, size: int = 4_000_000):
         """(keys, ids of each text) of Arrow batches of (key, text), up to about `size` bytes of text at a time."""
         for batch in batches:
             keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")

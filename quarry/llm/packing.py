@@ -71,13 +71,13 @@ def plan_group(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window long, step long, ids binary"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, mode: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536, group_tokens: int = 2_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, mode: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536, group_tokens: int = 2_000_000, cached_words: int = 1_000_000) -> DataFrame:
     """One row per piece: ids (little-endian unsigned 32-bit), its place in document and sequence, window and step."""
 
     def pack(batches):
         from pyspark import TaskContext
 
-        base, tok, end = TaskContext.get().partitionId() << 36, CachedTokenizer.get(tokenizer, mode), np.array([end_id], np.uint32)
+        base, tok, end = TaskContext.get().partitionId() << 36, CachedTokenizer.get(tokenizer, mode, cached_words), np.array([end_id], np.uint32)
         n_seq, filled, steps, open_step = 0, {}, 0, {}
         keys: list = []
         parts: list[np.ndarray] = []

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, clean, rolling, shuffle_partitions
+from .common import Stage, claim, clean, rolling, shuffle_partitions
 
 WINDOW, PHRASE = 20, 6
 CODES, FIRST_CODE = 0xD7FF - 0x0800, 0x0800  # code points of one 16-bit unit that are no surrogates
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 600_000
 NONE = -(2**62)
 
 
@@ -48,6 +48,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> list[np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept for the worker."""
+    claim("powers", lambda: _powers.__setitem__(slice(None), [np.ones(1, np.uint64)] * 2))
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
             factors = np.full(n + n // 4, base, np.uint64)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import clean, text_batches
+from .common import claim, clean, text_batches
 
 MARK = "▁"
 #: A mark and its word; where no piece joins a letter to a stop, the stops behind a word are a unit of their own.
@@ -69,6 +69,7 @@ class Lattices:
 
     @classmethod
     def get(cls, model: str, alpha: float) -> Lattices:
+        claim("pieces", cls._made.clear)
         if (model, alpha) not in cls._made:
             cls._made[model, alpha] = cls(model, alpha)
         return cls._made[model, alpha]

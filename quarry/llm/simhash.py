@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, clean, components
+from .common import Stage, claim, clean, components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SAMPLE = 131_072
@@ -259,6 +259,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     stage = Stage(docs.sparkSession)
 
     def run(batches):
+        claim("views", None)
         for batch in batches:
             rows = [views(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary())))], names=["doc_id", "digest", "fps", "sketch"])
