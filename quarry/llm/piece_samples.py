@@ -36,7 +36,7 @@ MARK = "▁"
 #: A mark and its word; where no piece joins a letter to a stop, the stops behind a word are a unit of their own.
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 SHORT_UNIT = re.compile(rf"{MARK}[^\W\d_]+(?![^.,{MARK}])|{MARK}+[^{MARK}]*|[.,][^{MARK}]*")
-CACHED_UNITS = 300_000
+CACHED_UNITS = 150_000
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -279,7 +279,7 @@ def sample_pieces(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, s
 
     def run(batches):
         lat = Lattices.get(model, alpha)
-        for keys, texts in text_batches(batches):
+        for keys, texts in text_batches(batches, 1_000_000):
             rows = [(key, s, len(ids), ids.tobytes(), lp, g, pi) for key, found in zip(keys, sample_texts(lat, keys, texts, k, seed), strict=True) for s, (ids, lp, g, pi) in enumerate(found)]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])

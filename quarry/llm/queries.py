@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_ego, packing, phrases, piece_samples, quality, reply_trees, secrets, simhash, token_blocks, url_templates
+from . import embed_ego, oracles, packing, phrases, piece_samples, quality, reply_trees, secrets, simhash, token_blocks, url_templates
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
