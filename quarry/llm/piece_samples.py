@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +88,7 @@ class Lattices:
         self.weight = weight
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unit_form = UNIT if any(re.search(r"[^\W\d_][.,]", pieces[i]) for i in plain) else SHORT_UNIT
-        self.trie: dict = {}
-        for text, i in self.ids.items():
-            at = self.trie
-            for c in text:
-                at = at.setdefault(c, {})
-            at[""] = (i, weight[i])
+        self._build_trie()
         self.clear()
 
     def units(self, text: str) -> list[str]:
@@ -102,36 +96,46 @@ class Lattices:
 
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
-        self.first, self.to, self.q, self.cum, self.piece = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, np.int64)
+        self.first, self.to, self.piece = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.q, self.cum, self.log_q, self.log_rest = (np.empty(0) for _ in range(4))
         self.byte_text: list[bytes] = []
 
-    def _edges(self, u: str, base: int, counts: list, to: list, score: list, piece: list) -> None:
-        """Append the edges of u, whose first node is base, node by node."""
-        n, root, beta, outs = len(u), self.trie, [0.0] * (len(u) + 1), []
-        for i in range(n - 1, -1, -1):
-            at, j, edges = root, i, []
-            while j < n and (at := at.get(u[j])) is not None:
-                j += 1
-                if (held := at.get("")) is not None:
-                    edges.append((held[1] + beta[j], j, held[0]))
-            if u[i] not in self.ids:
-                raw = u[i].encode("utf-8", "surrogatepass")
-                edges.append((self.least * len(raw) + beta[i + 1], i + 1, -1 - len(self.byte_text)))
-                self.byte_text.append(raw)
-            if len(edges) == 1:
-                beta[i] = edges[0][0]
-            else:
-                edges.sort(reverse=True)
-                top = edges[0][0]
-                beta[i] = top + log(sum([exp(e[0] - top) for e in edges]))
-            outs.append(edges)
-        for i in range(n):
-            edges, b = outs[n - 1 - i], beta[i]
-            counts.append(len(edges))
-            for w, j, k in edges:
-                to.append(base + j if j < n else -1)
-                score.append(w - b)
-                piece.append(k)
+    def _build_trie(self) -> None:
+        """The vocabulary as a trie whose steps (state, character) are looked up in one open hash table."""
+        steps: dict[tuple[int, str], int] = {}
+        self.state_id, self.state_weight = [-1], [0.0]
+        for text, i in self.ids.items():
+            at = 0
+            for c in text:
+                if (at, c) not in steps:
+                    steps[at, c] = len(self.state_id)
+                    self.state_id.append(-1)
+                    self.state_weight.append(0.0)
+                at = steps[at, c]
+            self.state_id[at], self.state_weight[at] = i, self.weight[i]
+        self.state_id, self.state_weight = np.array(self.state_id, np.int64), np.array(self.state_weight)
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.slot_key, self.slot_to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        keys = np.array([s << 21 | ord(c) for s, c in steps], np.int64)
+        for key, slot, to in zip(keys.tolist(), self._slots(keys).tolist(), steps.values(), strict=True):
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) % len(self.slot_key)
+            self.slot_key[slot], self.slot_to[slot] = key, to
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The states that follow, -1 where the trie ends."""
+        keys = states << 21 | chars
+        slots, out, open_ = self._slots(keys), np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(open_):
+            held = self.slot_key[slots[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.slot_to[slots[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+            slots[open_] = (slots[open_] + 1) % len(self.slot_key)
+        return out
 
     def learn(self, units: set[str]) -> None:
         fresh = [u for u in units if u not in self.unit]
@@ -140,19 +144,64 @@ class Lattices:
             fresh = list(units)
         if not fresh:
             return
-        base, counts, to, score, piece = len(self.first) - 1, [], [], [], []
-        for u in fresh:
-            self.unit[u] = base
-            self._edges(u, base, counts, to, score, piece)
-            base += len(u)
-        n = np.array(counts, np.int64)
-        q = np.exp(np.array(score))
+        base = len(self.first) - 1
+        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        ends = np.cumsum(size)
+        self.unit.update(zip(fresh, (base + ends - size).tolist(), strict=True))
+        chars = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        end = np.repeat(ends, size)
+        # all pieces at all places, one character further each round
+        at = np.arange(len(chars))
+        state, stop = np.zeros(len(chars), np.int64), at
+        held: list[tuple[np.ndarray, ...]] = []
+        known = np.zeros(len(chars), bool)
+        while len(at):
+            state = self._step(state, chars[stop])
+            on = state >= 0
+            at, state, stop = at[on], state[on], stop[on] + 1
+            piece = np.flatnonzero(self.state_id[state] >= 0)
+            held.append((at[piece], stop[piece], self.state_weight[state[piece]], self.state_id[state[piece]]))
+            if len(held) == 1:
+                known[at[piece]] = True
+            on = stop < end[at]
+            at, state, stop = at[on], state[on], stop[on]
+        odd = np.flatnonzero(~known)
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in chars[odd].tolist()]
+        held.append((odd, odd + 1, self.least * np.fromiter(map(len, raw), np.float64, len(raw)), -1 - len(self.byte_text) - np.arange(len(raw))))
+        self.byte_text += raw
+        node, to, weight, piece = (np.concatenate(x) for x in zip(*held, strict=True))
+        # backward sums, from the last character of every word to the first
+        left = end[node] - node
+        order = np.lexsort((node, left))
+        beta = np.zeros(len(chars) + 1)
+        score = np.empty(len(node))
+        bounds = np.searchsorted(left[order], np.arange(1, int(size.max()) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            e = order[a:b]
+            n, t = node[e], to[e]
+            w = weight[e] + np.where(t < end[n], beta[t], 0.0)
+            score[e] = w
+            begin = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+            top = np.maximum.reduceat(w, begin)
+            sums = np.add.reduceat(np.exp(w - np.repeat(top, np.diff(np.append(begin, len(w))))), begin)
+            beta[n[begin]] = top + np.log(sums)
+        score -= beta[node]
+        order = np.lexsort((-score, node))
+        node, to, score, piece = node[order], to[order], score[order], piece[order]
+        n = np.bincount(node, minlength=len(chars))
+        q = np.exp(score)
         begin = np.concatenate([[0], np.cumsum(n)])
         cum = np.cumsum(q)
         cum -= np.concatenate([[0.0], cum])[begin[:-1]].repeat(n)
         cum[begin[1:] - 1] = 1.0
+        to = np.where(to < end[node], base + to, -1)
         self.first = np.concatenate([self.first, self.first[-1] + begin[1:]])
-        self.to, self.q, self.cum, self.piece = (np.concatenate(x) for x in ((self.to, np.array(to, np.int64)), (self.q, q), (self.cum, cum), (self.piece, np.array(piece, np.int64))))
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.maximum(0.0, 1.0 - q))
+        rest[begin[:-1][n == 1]] = -np.inf  # whatever rounding says
+        new = {"to": to, "q": q, "cum": cum, "piece": piece, "log_q": score, "log_rest": rest}
+        for name, values in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ancestral samples from nodes to their words' ends: (edges in order, edges of each node)."""
@@ -178,13 +227,6 @@ class Lattices:
             out[start[r] + k] = e
         return out, n
 
-    def logs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Logarithms of each edge's probability and of its siblings' together."""
-        with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(0.0, 1.0 - self.q))
-            rest[self.first[:-1][np.diff(self.first) == 1]] = -np.inf  # whatever rounding says
-            return np.log(self.q), rest
-
     def tokens(self, edges: np.ndarray) -> np.ndarray:
         ids = self.piece[edges]
         odd = np.flatnonzero(ids < 0)
@@ -216,7 +258,7 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
         salt = mix(own[doc[pick]] + np.uint64(1000 + s))
         return lat.walk(nodes[pick], mix(salt + place[pick] * GOLD))
 
-    log_q, log_rest = lat.logs()
+    log_q, log_rest = lat.log_q, lat.log_rest
 
     def rests(edges: np.ndarray, before: float, top: float, key: np.uint64, skip: int) -> tuple[np.ndarray, np.ndarray]:
         lead = before + np.concatenate([[0.0], np.cumsum(log_q[edges])])
@@ -279,7 +321,7 @@ def sample_pieces(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, s
 
     def run(batches):
         lat = Lattices.get(model, alpha)
-        for keys, texts in text_batches(batches, 1_000_000):
+        for keys, texts in text_batches(batches):
             rows = [(key, s, len(ids), ids.tobytes(), lp, g, pi) for key, found in zip(keys, sample_texts(lat, keys, texts, k, seed), strict=True) for s, (ids, lp, g, pi) in enumerate(found)]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
