@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ class Lattices:
     """The nodes and edges of all distinct words seen by a worker.
 
     Node i's edges are first[i] to first[i + 1]; edge e leads to node to[e] (-1: the word's end) with conditional
-    probability q[e], likeliest first; cum[e] sums q over the node's edges up to e.
+    probability q[e], longer pieces first; cum[e] sums q over the node's edges up to e.
     """
 
     _made: dict[tuple[str, float], Lattices] = {}
@@ -169,28 +170,34 @@ class Lattices:
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in chars[odd].tolist()]
         held.append((odd, odd + 1, self.least * np.fromiter(map(len, raw), np.float64, len(raw)), -1 - len(self.byte_text) - np.arange(len(raw))))
         self.byte_text += raw
-        node, to, weight, piece = (np.concatenate(x) for x in zip(*held, strict=True))
+        # edges by node, longer pieces first, which are mostly likelier: each round has a place at most once
+        n = np.zeros(len(chars), np.int64)
+        for places, *_ in held:
+            n[places] += 1
+        begin = np.concatenate([[0], np.cumsum(n)])
+        node = np.repeat(np.arange(len(chars)), n)
+        to, weight, piece, fill = np.empty(len(node), np.int64), np.empty(len(node)), np.empty(len(node), np.int64), begin[:-1].copy()
+        for places, stops, weights, pieces in reversed(held):
+            where = fill[places]
+            to[where], weight[where], piece[where] = stops, weights, pieces
+            fill[places] += 1
         # backward sums, from the last character of every word to the first
         left = end[node] - node
-        order = np.lexsort((node, left))
+        order = np.argsort(left.astype(np.uint16) if size.max() < 65_536 else left, kind="stable")
         beta = np.zeros(len(chars) + 1)
         score = np.empty(len(node))
         bounds = np.searchsorted(left[order], np.arange(1, int(size.max()) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             e = order[a:b]
-            n, t = node[e], to[e]
-            w = weight[e] + np.where(t < end[n], beta[t], 0.0)
+            at, t = node[e], to[e]
+            w = weight[e] + np.where(t < end[at], beta[t], 0.0)
             score[e] = w
-            begin = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
-            top = np.maximum.reduceat(w, begin)
-            sums = np.add.reduceat(np.exp(w - np.repeat(top, np.diff(np.append(begin, len(w))))), begin)
-            beta[n[begin]] = top + np.log(sums)
+            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            top = np.maximum.reduceat(w, heads)
+            sums = np.add.reduceat(np.exp(w - np.repeat(top, np.diff(np.append(heads, len(w))))), heads)
+            beta[at[heads]] = top + np.log(sums)
         score -= beta[node]
-        order = np.lexsort((-score, node))
-        node, to, score, piece = node[order], to[order], score[order], piece[order]
-        n = np.bincount(node, minlength=len(chars))
         q = np.exp(score)
-        begin = np.concatenate([[0], np.cumsum(n)])
         cum = np.cumsum(q)
         cum -= np.concatenate([[0.0], cum])[begin[:-1]].repeat(n)
         cum[begin[1:] - 1] = 1.0
@@ -244,7 +251,7 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
     units = [lat.units(t) for t in texts]
     lat.learn(set().union(*units))
     count = np.array([len(u) for u in units], np.int64)
-    nodes = np.fromiter((lat.unit[u] for us in units for u in us), np.int64, int(count.sum()))
+    nodes = np.fromiter(map(lat.unit.__getitem__, chain.from_iterable(units)), np.int64, int(count.sum()))
     begin = np.cumsum(count) - count
     doc = np.repeat(np.arange(len(texts)), count)
     place = (np.arange(len(nodes)) - begin[doc]).astype(np.uint64)
