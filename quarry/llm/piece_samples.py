@@ -36,7 +36,9 @@ MARK = "▁"
 #: A mark and its word; where no piece joins a letter to a stop, the stops behind a word are a unit of their own.
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 SHORT_UNIT = re.compile(rf"{MARK}[^\W\d_]+(?![^.,{MARK}])|{MARK}+[^{MARK}]*|[.,][^{MARK}]*")
-CACHED_UNITS = 150_000
+#: Units a worker keeps, some 800 bytes each, and the characters whose lattices it builds at once.
+CACHED_UNITS = 300_000
+CHUNK_CHARS = 65_536
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +64,8 @@ class Lattices:
     """The nodes and edges of all distinct words seen by a worker.
 
     Node i's edges are first[i] to first[i + 1]; edge e leads to node to[e] (-1: the word's end) with conditional
-    probability q[e], longer pieces first; cum[e] sums q over the node's edges up to e.
+    log probability log_q[e], longer pieces first; cum[e] sums probabilities over the node's edges up to e. A piece
+    below 0 is -1 - the code point of a character spelled in bytes. A full cache keeps the units of the batch at hand.
     """
 
     _made: dict[tuple[str, float], Lattices] = {}
@@ -97,9 +100,35 @@ class Lattices:
 
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
-        self.first, self.to, self.piece = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.q, self.cum, self.log_q, self.log_rest = (np.empty(0) for _ in range(4))
-        self.byte_text: list[bytes] = []
+        self.nodes = 0
+        self.first, self.to, self.piece = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.cum, self.log_q, self.log_rest = (np.empty(0) for _ in range(3))
+
+    def _append(self, ends: np.ndarray, edges: dict[str, np.ndarray]) -> None:
+        """Nodes with their edges' ends, counted from the new edges' begin; arrays grow by doubling."""
+        a = int(self.first[self.nodes])
+        for name, at, values in [("first", self.nodes + 1, a + ends), *((name, a, v) for name, v in edges.items())]:
+            held = getattr(self, name)
+            if at + len(values) > len(held):
+                grown = np.empty(max(2 * len(held), at + len(values)), held.dtype)
+                grown[:at] = held[:at]
+                setattr(self, name, grown)
+            getattr(self, name)[at : at + len(values)] = values
+        self.nodes += len(ends)
+
+    def _keep(self, units: set[str]) -> None:
+        """Forget all units but these."""
+        kept = [u for u in units if u in self.unit]
+        old, size = np.fromiter(map(self.unit.__getitem__, kept), np.int64, len(kept)), np.fromiter(map(len, kept), np.int64, len(kept))
+        new = np.cumsum(size) - size
+        nodes = np.repeat(old - new, size) + np.arange(int(size.sum()))
+        n = self.first[nodes + 1] - self.first[nodes]
+        ends = np.cumsum(n)
+        e = np.repeat(self.first[nodes] - ends + n, n) + np.arange(int(n.sum()))
+        edges = {name: getattr(self, name)[e] for name in ("to", "piece", "cum", "log_q", "log_rest")}
+        edges["to"] = np.where(edges["to"] >= 0, edges["to"] + np.repeat(np.repeat(new - old, size), n), -1)
+        self.unit, self.nodes = dict(zip(kept, new.tolist(), strict=True)), 0
+        self._append(ends, edges)
 
     def _build_trie(self) -> None:
         """The vocabulary as a trie whose steps (state, character) are looked up in one open hash table."""
@@ -141,21 +170,27 @@ class Lattices:
     def learn(self, units: set[str]) -> None:
         fresh = [u for u in units if u not in self.unit]
         if len(self.unit) + len(fresh) > CACHED_UNITS:
-            self.clear()
-            fresh = list(units)
-        if not fresh:
-            return
-        base = len(self.first) - 1
+            self._keep(units)
+        fresh.sort(key=len)
+        a = 0
+        while a < len(fresh):  # some units of like length at a time, whose arrays a processor's cache holds
+            b = min(len(fresh), a + max(1, CHUNK_CHARS // len(fresh[a])))
+            while b > a + 1 and (b - a) * len(fresh[b - 1]) > 2 * CHUNK_CHARS:
+                b = (a + b + 1) // 2
+            self._learn(fresh[a:b])
+            a = b
+
+    def _learn(self, fresh: list[str]) -> None:
+        base = self.nodes
         size = np.fromiter(map(len, fresh), np.int64, len(fresh))
         ends = np.cumsum(size)
-        self.unit.update(zip(fresh, (base + ends - size).tolist(), strict=True))
         chars = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         end = np.repeat(ends, size)
         # all pieces at all places, one character further each round
         at = np.arange(len(chars))
         state, stop = np.zeros(len(chars), np.int64), at
         held: list[tuple[np.ndarray, ...]] = []
-        known = np.zeros(len(chars), bool)
+        known, single = np.zeros(len(chars), bool), np.empty(len(chars))
         while len(at):
             state = self._step(state, chars[stop])
             on = state >= 0
@@ -163,52 +198,72 @@ class Lattices:
             piece = np.flatnonzero(self.state_id[state] >= 0)
             held.append((at[piece], stop[piece], self.state_weight[state[piece]], self.state_id[state[piece]]))
             if len(held) == 1:
-                known[at[piece]] = True
+                known[at[piece]], single[at[piece]] = True, held[0][2]
             on = stop < end[at]
             at, state, stop = at[on], state[on], stop[on]
         odd = np.flatnonzero(~known)
-        raw = [chr(c).encode("utf-8", "surrogatepass") for c in chars[odd].tolist()]
-        held.append((odd, odd + 1, self.least * np.fromiter(map(len, raw), np.float64, len(raw)), -1 - len(self.byte_text) - np.arange(len(raw))))
-        self.byte_text += raw
+        code = chars[odd]
+        single[odd] = self.least * (1.0 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        held.append((odd, odd + 1, single[odd], -1 - code))
         # edges by node, longer pieces first, which are mostly likelier: each round has a place at most once
         n = np.zeros(len(chars), np.int64)
         for places, *_ in held:
             n[places] += 1
-        begin = np.concatenate([[0], np.cumsum(n)])
+        stops_at = np.cumsum(n)
+        begin = stops_at - n
         node = np.repeat(np.arange(len(chars)), n)
-        to, weight, piece, fill = np.empty(len(node), np.int64), np.empty(len(node)), np.empty(len(node), np.int64), begin[:-1].copy()
+        to, weight, piece, fill = np.empty(len(node), np.int64), np.empty(len(node)), np.empty(len(node), np.int64), begin.copy()
         for places, stops, weights, pieces in reversed(held):
             where = fill[places]
             to[where], weight[where], piece[where] = stops, weights, pieces
             fill[places] += 1
-        # backward sums, from the last character of every word to the first
-        left = end[node] - node
-        order = np.argsort(left.astype(np.uint16) if size.max() < 65_536 else left, kind="stable")
-        beta = np.zeros(len(chars) + 1)
-        score = np.empty(len(node))
-        bounds = np.searchsorted(left[order], np.arange(1, int(size.max()) + 2))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            e = order[a:b]
-            at, t = node[e], to[e]
-            w = weight[e] + np.where(t < end[at], beta[t], 0.0)
-            score[e] = w
-            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            top = np.maximum.reduceat(w, heads)
-            sums = np.add.reduceat(np.exp(w - np.repeat(top, np.diff(np.append(heads, len(w))))), heads)
-            beta[at[heads]] = top + np.log(sums)
-        score -= beta[node]
+        score = self._conditional(node, to, weight, n, begin, end, size, single)
         q = np.exp(score)
-        cum = np.cumsum(q)
-        cum -= np.concatenate([[0.0], cum])[begin[:-1]].repeat(n)
-        cum[begin[1:] - 1] = 1.0
-        to = np.where(to < end[node], base + to, -1)
-        self.first = np.concatenate([self.first, self.first[-1] + begin[1:]])
+        cum, on, k = q.copy(), np.flatnonzero(n > 1), 1
+        while len(on):
+            cum[begin[on] + k] += cum[begin[on] + k - 1]
+            k += 1
+            on = on[n[on] > k]
+        cum[stops_at - 1] = 1.0
         with np.errstate(divide="ignore"):
             rest = np.log(np.maximum(0.0, 1.0 - q))
-        rest[begin[:-1][n == 1]] = -np.inf  # whatever rounding says
-        new = {"to": to, "q": q, "cum": cum, "piece": piece, "log_q": score, "log_rest": rest}
-        for name, values in new.items():
-            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        rest[begin[n == 1]] = -np.inf  # whatever rounding says
+        self._append(stops_at, {"to": np.where(to < end[node], base + to, -1), "piece": piece, "cum": cum, "log_q": score, "log_rest": rest})
+        self.unit.update(zip(fresh, (base + ends - size).tolist(), strict=True))
+
+    @staticmethod
+    def _conditional(node, to, weight, n, begin, end, size, single) -> np.ndarray:
+        """Log of each edge's weight with all that can follow, by its node's, from backward sums over all paths.
+
+        Sums are taken relative to the path of single characters, rounded down. They are 1 at least then, so only long
+        units can leave the range of doubles, upwards; the sums of units that might are taken as logarithms.
+        """
+        word = np.repeat(np.arange(len(size)), size)
+        place, goal = np.arange(len(word)) + word, to + word[node]  # a place behind each word stands for its end
+        left = end - np.arange(len(word))
+        turn = np.argsort(left.astype(np.uint16) if size.max() < 65_536 else left, kind="stable")
+        head = np.cumsum(n[turn]) - n[turn]
+        e = np.repeat(begin[turn] - head, n[turn]) + np.arange(len(node))
+        head, own, aim = np.append(head, len(node)), place[turn], goal[e]
+        bounds = np.searchsorted(left[turn], np.arange(1, int(size.max()) + 2)).tolist()
+        rounds = [(slice(a, b), slice(int(head[a]), int(head[b])), head[a:b] - head[a]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        base = np.floor(single * 1024) / 1024  # whose sums are exact
+        path = np.concatenate([[0.0], np.cumsum(base)])
+        gain = weight - (path[to] - path[node])
+        with np.errstate(over="ignore", invalid="ignore"):
+            times, total = np.exp(gain)[e], np.ones(len(word) + len(size))
+            for nodes, edges, heads in rounds:
+                total[own[nodes]] = np.add.reduceat(times[edges] * total[aim[edges]], heads)
+            total = np.log(total)
+        far = 0.7 * size - np.add.reduceat(base, np.cumsum(size) - size) > 700  # up to 2^size paths, each of weight 1 at most
+        if far.any():
+            ordered, logs = gain[e], np.zeros(len(total))
+            for nodes, edges, heads in rounds:
+                w = ordered[edges] + logs[aim[edges]]
+                top = np.maximum.reduceat(w, heads)
+                logs[own[nodes]] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, np.diff(np.append(heads, len(w))))), heads))
+            total = np.where(np.repeat(far, size + 1), logs, total)
+        return np.minimum(0.0, gain + total[goal] - total[place[node]])
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ancestral samples from nodes to their words' ends: (edges in order, edges of each node)."""
@@ -241,7 +296,7 @@ class Lattices:
             return ids.astype("<u4")
         parts, last = [], 0
         for i in odd.tolist():
-            parts += [ids[last:i], np.array([self.bytes[b] for b in self.byte_text[-1 - ids[i]]], np.int64)]
+            parts += [ids[last:i], np.array([self.bytes[b] for b in chr(-1 - ids[i]).encode("utf-8", "surrogatepass")], np.int64)]
             last = i + 1
         return np.concatenate([*parts, ids[last:]]).astype("<u4")
 
@@ -295,14 +350,14 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
             i = int(g.argmax())
             top = float(g[i])
             word = int(np.searchsorted(np.cumsum(sizes), i, "right"))
-            node = int(np.searchsorted(lat.first, path[i], "right")) - 1
+            node = int(np.searchsorted(lat.first[: lat.nodes + 1], path[i], "right")) - 1
             used = left.setdefault(i, [int(path[i])])
             options = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in used]
-            weights = lat.q[options]
+            weights = np.exp(lat.log_q[options])
             u = float(uniform(np.array([own[d] + np.uint64(31 * s + 5)], np.uint64))[0]) * weights.sum()
             e = options[min(int(np.searchsorted(np.cumsum(weights), u)), len(options) - 1)]
             used.append(e)
-            rest = float(weights.sum() - lat.q[e]) if len(options) > 1 else 0.0
+            rest = float(weights.sum() - np.exp(lat.log_q[e])) if len(options) > 1 else 0.0
             g[i] = truncated(np.array([lead[i] + (np.log(rest) if rest > 0 else -np.inf)]), np.array([top]), np.array([own[d] + np.uint64(9000 + 13 * s)], np.uint64))[0] if rest > 0 else -np.inf
             to = int(lat.to[e])
             tail, tn = lat.walk(np.array([to], np.int64), np.array([mix(own[d : d + 1] + np.uint64(500 + s))[0]], np.uint64)) if to >= 0 else (np.empty(0, np.int64), np.zeros(1, np.int64))
