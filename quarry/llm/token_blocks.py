@@ -27,6 +27,30 @@ MAGIC = b"PFR1"
 BITS = np.frexp(np.arange(65_536.0))[1].astype(np.uint8)
 
 
+def _spans(w: int):
+    """(value, byte, bits that the value lies left of the byte's end) of 8 values of w bits each in w bytes."""
+    return [(j, b, (b + 1) * 8 - (j + 1) * w) for j in range(8) for b in range(j * w // 8, ((j + 1) * w - 1) // 8 + 1)]
+
+
+def _to_bits(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values below 2^w as rows of bytes, the high bit first."""
+    wide = np.ascontiguousarray(values.reshape(-1, 8).T)
+    out = np.zeros((w, wide.shape[1]), np.uint8)
+    for j, b, left in _spans(w):
+        out[b] |= (wide[j] << left if left >= 0 else wide[j] >> -left).astype(np.uint8)
+    return np.ascontiguousarray(out.T).reshape(len(values), -1)
+
+
+def _from_bits(raw: np.ndarray, w: int) -> np.ndarray:
+    wide = np.ascontiguousarray(raw.reshape(-1, w).T)
+    out = np.zeros((8, wide.shape[1]), np.uint32)
+    for j, b, left in _spans(w):
+        part = wide[b].astype(np.uint32)
+        out[j] |= part >> left if left >= 0 else part << -left
+    out &= np.uint32((1 << w) - 1)
+    return np.ascontiguousarray(out.T).reshape(len(raw), -1)
+
+
 def pack_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Block starts, minima, widths and exception counts, and the payload."""
     ids = np.asarray(ids, np.uint32)
@@ -48,9 +72,7 @@ def pack_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.nda
     for w in np.unique(width):
         if w:
             rows, w = np.flatnonzero(width == w), int(w)
-            held = 16 if w <= 16 else 32
-            bits = np.unpackbits(packed[rows].astype(f">u{held // 8}").view(np.uint8).reshape(len(rows), BLOCK, held // 8), axis=2)[:, :, held - w :]
-            payload[start[rows][:, None] + np.arange(16 * w)] = np.packbits(bits.reshape(len(rows), -1), axis=1)
+            payload[start[rows][:, None] + np.arange(16 * w)] = _to_bits(packed[rows], w)
     row, col = np.nonzero(out_of)
     if len(row):
         rank = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n_exc)])[row]
@@ -67,10 +89,7 @@ def unpack_blocks(start, low, width, n_exc, payload: np.ndarray) -> np.ndarray:
     for w in np.unique(width):
         if w:
             rows, w = np.flatnonzero(width == w), int(w)
-            held = 16 if w <= 16 else 32
-            bits = np.zeros((len(rows), BLOCK, held), np.uint8)
-            bits[:, :, held - w :] = np.unpackbits(payload[start[rows][:, None] + np.arange(16 * w)], axis=1).reshape(len(rows), BLOCK, w)
-            out[rows] = np.packbits(bits, axis=2).reshape(len(rows), -1).view(f">u{held // 8}")
+            out[rows] = _from_bits(payload[start[rows][:, None] + np.arange(16 * w)], w)
     row = np.repeat(np.arange(n), n_exc)
     if len(row):
         rank = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n_exc)])[row]
