@@ -211,8 +211,19 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     return prints.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-VIEWS, VIEW_SHINGLES, SKETCH = 16, 4, 256
-MULTS = np.array([(0x9E3779B97F4A7C15 * (2 * v + 1) | 1) & (2**64 - 1) for v in range(VIEWS)], np.uint64)
+VIEWS, VIEW_SHINGLES, SKETCH, BLOCK = 16, 4, 256, 1_024
+MULTS = np.random.default_rng(16).integers(0, 2**64, (VIEWS, 2), np.uint64) | np.uint64(1)  # multiples of one number would order alike
+
+
+def shingles(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The normalised words and the sorted distinct hashes of their shingles; texts shorter than one are one."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if len(words) <= shingle:
+        grams = [b" ".join(words)]
+    else:
+        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return b" ".join(words), np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
 
 
 def views(text: str | None, shingle: int) -> tuple[bytes, list[int], bytes]:
@@ -222,22 +233,17 @@ def views(text: str | None, shingle: int) -> tuple[bytes, list[int], bytes]:
     have a view in common with probability 1 - (1 - s**4)**16, 0.9998 at 0.8. The sketch holds the SKETCH smallest
     hashes (32 bits), the whole set of most texts.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
+    words, h = shingles(text, shingle)
     fps, n = [], min(VIEW_SHINGLES, len(h))
-    for m in MULTS:
+    for m, k in MULTS:
         order = h * m
-        order ^= order >> np.uint64(31)
+        order ^= order >> np.uint64(32)
+        order *= k
         some = h[np.argpartition(order, n - 1)[:n]] if n < len(h) else h
         ones = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
         fps.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True))
     small = (h >> np.uint64(32)).astype(np.uint32)  # sorted, as h is
-    return xxhash.xxh3_128_digest(b" ".join(words)), fps, np.unique(small[:SKETCH]).tobytes()
+    return xxhash.xxh3_128_digest(words), fps, np.unique(small[:SKETCH]).tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -249,12 +255,35 @@ def similarity(a: bytes, b: bytes) -> float:
     return len(np.intersect1d(np.intersect1d(x, y), both)) / max(len(both), 1)
 
 
+def block_links(ids: np.ndarray, comp: np.ndarray, home: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of home rows with all rows of a block that join what `comp` leaves apart, judged on whole shingle sets."""
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    label, edges = np.unique(comp, return_inverse=True)[1], []
+    for x in np.flatnonzero(home):
+        if (label == label[x]).all():
+            break
+        lo = np.searchsorted(flat, sets[x], "left")
+        n = np.searchsorted(flat, sets[x], "right") - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for y in np.flatnonzero((both / (size[x] + size - both) >= least) & (label != label[x])):
+            if label[y] != label[x]:
+                edges.append((int(ids[x]), int(ids[y])))
+                label[label == label[y]] = label[x]
+    return edges
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents that are no longer the first of their near-duplicate group.
 
     Exact copies (same normalised words) are folded first. Fingerprints of all views within one bit are linked by the
-    vantage-point trees; within a crowd of equal or linked fingerprints each document is compared with one leader
-    that differs from view to view, never with all others. A link needs shingle similarity of `least`.
+    vantage-point trees; documents of equal or linked fingerprints are a crowd. Each document is compared with one leader
+    of its crowd, then, in crowds of which two components or more are left, with the document of the most links. What
+    is still apart is compared in full: all that is outside a crowd's largest component with the whole crowd, in blocks
+    of some BLOCK by BLOCK documents, so that crowds of any size are spread. A link needs shingle similarity of `least`.
     """
     stage = Stage(docs.sparkSession)
 
@@ -271,19 +300,53 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     held = stage.write(reps.select("doc_id", F.explode(F.array_distinct("fps")).alias("fp")))
     links = near_links(stage, held.select("fp").distinct(), radius=1)
     crowd = components(stage, links).withColumnRenamed("node", "fp")
-    keyed = held.join(crowd, "fp", "left").select("doc_id", F.coalesce("component", "fp").alias("key"))
-    leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.doc_id").alias("b"))
-    pairs = keyed.join(leader, "key").where("doc_id != b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+    keyed = stage.write(held.join(crowd, "fp", "left").select("doc_id", F.coalesce("component", "fp").alias("key")).distinct())
     sketch = seen.select("doc_id", "sketch")
-    both = pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketch.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
-
     def verify(batches):
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             ok = [similarity(p, q) >= least for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_pydict({"a": [v for v, k in zip(a, ok, strict=True) if k], "b": [v for v, k in zip(b, ok, strict=True) if k]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    near = components(stage, both.mapInArrow(verify, "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+        both = pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketch.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
+        return stage.write(both.mapInArrow(verify, "a long, b long"))
+
+    def whole(ids: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                sets = [shingles(t, shingle)[1].tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+        return stage.write(clean(docs.where("doc_id is not null"), "doc_id", "text").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary"))
+
+    def apart(near: DataFrame) -> DataFrame:
+        """Crowds of two components or more, with each document's component, that of most, and how many are not in it."""
+        full = keyed.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        parts = full.groupBy("key", "c").agg(F.count("*").alias("k"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
+        return stage.write(full.join(keys.select("key", "n", F.col("m.c").alias("major"), (F.col("n") - F.col("m.k")).alias("minor")), "key"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        links = block_links(pdf["doc_id"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64), pdf["home"].to_numpy(bool), sets, least)
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype=np.int64)
+
+    leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.doc_id").alias("b"))
+    found = verified(keyed.join(leader, "key").where("doc_id != b"))
+    rest = apart(components(stage, found))
+    degree = found.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
+    hub = rest.join(degree, "doc_id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "doc_id", "c")).alias("m")).select("key", F.col("m.doc_id").alias("b"), F.col("m.c").alias("of"))
+    found = found.unionByName(verified(rest.join(hub, "key").where("c != of")))
+    rest = apart(components(stage, found))
+    high, wide = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("minor", "n"))
+    row, col = F.pmod(F.xxhash64("doc_id", F.lit(1)), high).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(2)), wide).cast("int")
+    mine = rest.where("c != major").select("key", "doc_id", "c", F.lit(True).alias("home"), row.alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
+    others = rest.select("key", "doc_id", "c", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), high - 1)).alias("i"), col.alias("j"))
+    cells = mine.unionByName(others).join(whole(rest.select("doc_id")), "doc_id")
+    links = stage.write(cells.groupBy("key", "i", "j").applyInPandas(solve, "a long, b long"))
+    near = components(stage, found.unionByName(links))
     behind = near.where("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     return stage.write(copies.select("doc_id", F.col("rep").alias("component_id")).unionByName(behind))
 

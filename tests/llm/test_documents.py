@@ -114,6 +114,44 @@ def test_near_groups_keep_one_of_near_copies(spark):
     assert kept == {5 * k for k in range(40)} | {n, n + 2, n + 3}
 
 
+def test_near_groups_find_a_star_of_copies(spark):
+    """Copies close to their original, but not to each other."""
+    r = np.random.default_rng(2)
+    vocab = np.array([f"v{i}" for i in range(5000)])
+    first = r.choice(vocab, 300)
+    rows = [(0, " ".join(first))]
+    for n in range(1, 1001):
+        v = first.copy()
+        v[5 + 10 * r.choice(29, 5, replace=False)] = [f"e{n}x{k}" for k in range(5)]
+        rows.append((n, " ".join(v)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0}
+
+
+def test_block_links_join_all_that_is_near():
+    r = np.random.default_rng(3)
+    base = [r.choice(2**40, 60, replace=False).astype(np.uint64) for _ in range(12)]
+    sets = []
+    for k in range(150):
+        x = base[k % 12].copy()
+        x[r.choice(60, r.integers(0, 14), replace=False)] = r.choice(2**40, 1)
+        sets.append(np.unique(x))
+    n, home = len(sets), np.arange(len(sets)) % 3 > 0
+    comp = np.arange(n)
+    comp[~home] = 0  # what is not home is of one component
+    near = [(a, b) for a in range(n) for b in range(n) if a != b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    links = simhash.block_links(np.arange(n), comp, home, sets, 0.8)
+    assert set(links) <= set(near)
+
+    def parts(edges):
+        label = comp.copy()
+        for a, b in edges:
+            label[label == label[b]] = label[a]
+        return {tuple(np.flatnonzero(label == x)) for x in set(label.tolist())}
+
+    assert parts(links) == parts(near)
+
+
 def test_secrets(spark, sf_dir):
     got = {r.doc_id: r for r in queries.op5_secret_links(spark, sf_dir).collect()}
     for d, t in DOCS:
