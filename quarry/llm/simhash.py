@@ -211,7 +211,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     return prints.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-VIEWS, VIEW_SHINGLES, SKETCH, BLOCK = 16, 4, 256, 1_024
+VIEWS, VIEW_SHINGLES, SKETCH, BAND, BLOCK = 16, 4, 256, 0.15, 1_024
 MULTS = np.random.default_rng(16).integers(0, 2**64, (VIEWS, 2), np.uint64) | np.uint64(1)  # multiples of one number would order alike
 
 
@@ -231,7 +231,7 @@ def views(text: str | None, shingle: int) -> tuple[bytes, list[int], bytes]:
 
     A view samples the VIEW_SHINGLES shingles that come first in an order of its own, so texts of similarity s
     have a view in common with probability 1 - (1 - s**4)**16, 0.9998 at 0.8. The sketch holds the SKETCH smallest
-    hashes (32 bits), the whole set of most texts.
+    hashes (32 bits), the whole set of texts of fewer shingles.
     """
     words, h = shingles(text, shingle)
     fps, n = [], min(VIEW_SHINGLES, len(h))
@@ -283,7 +283,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     vantage-point trees; documents of equal or linked fingerprints are a crowd. Each document is compared with one leader
     of its crowd, then, in crowds of which two components or more are left, with the document of the most links. What
     is still apart is compared in full: all that is outside a crowd's largest component with the whole crowd, in blocks
-    of some BLOCK by BLOCK documents, so that crowds of any size are spread. A link needs shingle similarity of `least`.
+    of some BLOCK by BLOCK documents, so that crowds of any size are spread. A link needs shingle similarity of `least`: sketches decide
+    where they hold the whole sets; of longer texts they only sift out what is BAND (six deviations) below, and the rest
+    is judged on the whole sets.
     """
     stage = Stage(docs.sparkSession)
 
@@ -302,16 +304,32 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     crowd = components(stage, links).withColumnRenamed("node", "fp")
     keyed = stage.write(held.join(crowd, "fp", "left").select("doc_id", F.coalesce("component", "fp").alias("key")).distinct())
     sketch = seen.select("doc_id", "sketch")
-    def verify(batches):
+    ends = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sift(batches):
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
-            ok = [similarity(p, q) >= least for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": [v for v, k in zip(a, ok, strict=True) if k], "b": [v for v, k in zip(b, ok, strict=True) if k]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            sure = [max(len(p), len(q)) < 4 * (SKETCH - 1) for p, q in zip(x, y, strict=True)]
+            ok = [similarity(p, q) >= (least if k else least - BAND) for p, q, k in zip(x, y, sure, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t).filter(pa.array(ok, pa.bool_())) for v, t in ((a, pa.int64()), (b, pa.int64()), (sure, pa.bool_()))], names=["a", "b", "sure"])
+
+    def judge(batches):
+        for batch in batches:
+            a, b, x, y = batch.columns
+            sets = ((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True))
+            ok = [(n := len(np.intersect1d(p, q, assume_unique=True))) / (len(p) + len(q) - n) >= least for p, q in sets]
+            yield pa.RecordBatch.from_arrays([v.filter(pa.array(ok, pa.bool_())) for v in (a, b)], schema=ends)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
         both = pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketch.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
-        return stage.write(both.mapInArrow(verify, "a long, b long"))
+        sifted = stage.write(both.mapInArrow(sift, "a long, b long, sure boolean"))
+        long = sifted.where("not sure").select("a", "b")
+        sets = whole(long.select(F.explode(F.array("a", "b")).alias("doc_id")))
+        full = long.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
+        out = stage.write(sifted.where("sure").select("a", "b").unionByName(full.mapInArrow(judge, "a long, b long")))
+        stage.drop(sets)
+        return out
 
     def whole(ids: DataFrame) -> DataFrame:
         def run(batches):

@@ -128,6 +128,22 @@ def test_near_groups_find_a_star_of_copies(spark):
     assert kept == {0}
 
 
+def test_near_groups_judge_long_texts_exactly(spark):
+    """996 shingles; 22 edits leave a similarity of 0.801, 23 leave 0.793."""
+    r = np.random.default_rng(4)
+    vocab = np.array([f"word{i}" for i in range(9000)])
+    rows, want = [], set()
+    for k in range(40):
+        first = r.choice(vocab, 1000)
+        v = first.copy()
+        edits = 22 + k % 2
+        v[10 + 10 * r.choice(98, edits, replace=False)] = [f"e{k}x{i}" for i in range(edits)]
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(v))]
+        want |= {2 * k, 2 * k + 1} if k % 2 else {2 * k}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want
+
+
 def test_block_links_join_all_that_is_near():
     r = np.random.default_rng(3)
     base = [r.choice(2**40, 60, replace=False).astype(np.uint64) for _ in range(12)]
