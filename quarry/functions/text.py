@@ -160,11 +160,11 @@ def format_bytes(c: Column | str) -> Column:
 
 
 def relative_time(seconds: Column | str, now: Column | int) -> Column:
-    """DT2: just now, minutes, hours, days below a week, else the date."""
+    """DT2: just now, minutes, hours, days below 30, else the date as in `Jan 5, 2026`."""
     age = (F.lit(now) if isinstance(now, int) else now) - _col(seconds)
     return (
         F.when(age < 60, "just now").when(age < 3600, F.concat(F.floor(age / 60), F.lit("m ago"))).when(age < 86400, F.concat(F.floor(age / 3600), F.lit("h ago")))
-        .when(age < 7 * 86400, F.concat(F.floor(age / 86400), F.lit("d ago"))).otherwise(F.date_format(F.timestamp_seconds(_col(seconds)), "yyyy-MM-dd"))
+        .when(age < 30 * 86400, F.concat(F.floor(age / 86400), F.lit("d ago"))).otherwise(F.date_format(F.timestamp_seconds(_col(seconds)), "MMM d, yyyy"))
     )
 
 

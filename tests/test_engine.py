@@ -119,6 +119,14 @@ def test_catalog_matches_sql(spark):
         assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(repr, want)), name
 
 
+def test_relative_time_reads_all_rows(spark, tmp_path):
+    from quarry.plans import catalog
+
+    spark.createDataFrame([(1,), (2,), (9_999,), (10_000,), (16_345,), (16_346,), (70_054,), (70_055,), (256_409,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.age for r in catalog.queries()["relative_time"](spark, str(tmp_path)).collect()}
+    assert got == {1: "just now", 2: "1m ago", 9_999: "4d ago", 10_000: "4d ago", 16_345: "6d ago", 16_346: "7d ago", 70_054: "29d ago", 70_055: "Dec 16, 2026", 256_409: "Sep 27, 2026"}
+
+
 @pytest.fixture(autouse=True)
 def _tidy(tmp_path):
     yield
