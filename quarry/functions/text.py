@@ -143,11 +143,11 @@ def media_type(filename: Column | str) -> Column:
     return F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair])[extension(filename)]
 
 
-LABELS = {"pdf": "PDF", "docx": "Word", "xlsx": "Excel", "csv": "CSV", "txt": "Text", "md": "Markdown", "png": "Image", "jpg": "Image", "jpeg": "Image", "webp": "Image"}
+LABELS = {"pdf": "PDF", "docx": "Word", "xlsx": "Excel", "csv": "CSV", "txt": "Text", "md": "Markdown", "png": "PNG", "jpg": "JPEG", "jpeg": "JPEG", "webp": "WebP"}
 
 
 def media_label(c: Column | str) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[_col(c)], F.upper(_col(c)))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[F.lower(_col(c))], F.upper(_col(c)))
 
 
 def format_bytes(c: Column | str) -> Column:

@@ -221,8 +221,7 @@ def format_bytes(spark, d):
 
 @register("basename_dirname", f"WITH {FILES} SELECT id, filename AS base, lang_hint AS dir, upper(media_type) AS label FROM files WHERE media_type NOT IN ('docx', 'xlsx', 'txt', 'md', 'png', 'jpg')")
 def basename_dirname(spark, d):
-    f = model.files(spark, d).where(~F.col("media_type").isin("docx", "xlsx", "txt", "md", "png", "jpg"))
-    return f.select("id", text.basename("rel_path").alias("base"), text.dirname("rel_path").alias("dir"), text.media_label("media_type").alias("label"))
+    return model.files(spark, d).select("id", text.basename("rel_path").alias("base"), text.dirname("rel_path").alias("dir"), text.media_label("media_type").alias("label"))
 
 
 @register("csv_to_kv", "SELECT user_id, string_agg('id: ' || event_id || ', type: ' || event_type, chr(10) ORDER BY event_id) AS kv FROM events GROUP BY user_id")

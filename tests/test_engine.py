@@ -127,6 +127,15 @@ def test_relative_time_reads_all_rows(spark, tmp_path):
     assert got == {1: "just now", 2: "1m ago", 9_999: "4d ago", 10_000: "4d ago", 16_345: "6d ago", 16_346: "7d ago", 70_054: "29d ago", 70_055: "Dec 16, 2026", 256_409: "Sep 27, 2026"}
 
 
+def test_basename_dirname_labels_all_types(spark, sf):
+    from quarry.plans import catalog, model
+
+    names = ("PDF", "Word", "Excel", "CSV", "Text", "Markdown", "PNG", "JPEG")
+    want = {(r.doc_id, f"{r.doc_id}.{model.TYPES[r.doc_id % 8]}", r.lang, names[r.doc_id % 8]) for r in model.read(spark, sf, "documents").collect()}
+    got = [tuple(r) for r in catalog.queries()["basename_dirname"](spark, sf).select("id", "base", "dir", "label").collect()]
+    assert set(got) == want and len(got) == len(want) > 0
+
+
 @pytest.fixture(autouse=True)
 def _tidy(tmp_path):
     yield
