@@ -1,12 +1,14 @@
 """Operator 5: secret scans with multipart credential linking.
 
 Base spans are strong findings and always stay. Besides, weak parts are collected: an access identifier
-(`id`: a name such as user, login, client_id with a value, or a short upper-case key), a weak secret (`key`: a
+(`id`: a name such as user, login, client_id with a value, or a bare access id too short for the
+base rule), a weak secret (`key`: a
 mixed run of letters and digits of 16 or more that no base span covers) and an endpoint (`host`: a URL or a host
 with a port). Parts lie in scopes: a scope is a run of text without an empty line, and within it two parts
 are linked when the gap between their intervals is at most `reach` code points. The interval join is a sweep over
 parts sorted by start. A weak part is reported only when parts of complementary kinds (an identifier or endpoint
-with a secret, base spans counting as theirs) are linked to it; alone it is dropped.
+with a secret, base spans counting as theirs) are linked to it; alone it is dropped. A run that is both an access id
+and a weak secret is no pair with itself.
 
 Null texts are empty and have no spans. Texts of any length are scanned whole; the sweep keeps only parts
 within reach. Repeated rows give repeated rows. An empty table gives no rows. Other columns are ignored.
@@ -29,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "id", "key", "host")
 
-IDENT = re.compile(r"(?i:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})", re.ASCII)
+IDENT = re.compile(r"(?i:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})|(?<![A-Za-z0-9+/_-])AKIA[A-Z0-9]{1,15}(?![A-Za-z0-9+/_-])", re.ASCII)
 WEAK = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}", re.ASCII)
 HOST = re.compile(r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}(?![0-9])", re.ASCII)
 DIGIT = re.compile(r"[0-9]")
@@ -53,7 +55,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     weak = []
     if "://" in text or ":" in text:
         weak += [(m.start(), m.end(), "host") for m in HOST.finditer(text)]
-    if ":" in text or "=" in text:
+    if ":" in text or "=" in text or "AKIA" in text:
         weak += [(m.start(), m.end(), "id") for m in IDENT.finditer(text)]
     if not weak and not base:
         return []
@@ -78,7 +80,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
         while near and parts[near[0]][1] + reach < s:
             near.popleft()
         for j in near:
-            if parts[j][1] + reach >= s and parts[j][3] != secret:
+            if parts[j][1] + reach >= s and parts[j][3] != secret and parts[j][:2] != (s, e):
                 found.update(k for k in (i, j) if not parts[k][4])
         near.append(i)
     return [parts[i][:3] for i in sorted(found)]

@@ -186,6 +186,13 @@ def test_secret_links_need_scope_and_reach():
     assert len(secrets.linked_spans("user=alice99\nZx9aa8bb7cc6dd5ee4", [])) == 2
 
 
+def test_bare_access_ids_are_parts():
+    assert secrets.linked_spans("AKIAQ7 with Zx9aa8bb7cc6dd5ee4", []) == [(0, 6, "id"), (12, 30, "key")]
+    assert secrets.linked_spans("AKIA56789012345 6789", []) == secrets.linked_spans("AKIA567890123456789", []) == []
+    assert secrets.linked_spans("user=alice99 AKIA567890123456789", []) == [(0, 12, "id"), (13, 32, "key")]
+    assert secrets.linked_spans("access_key=AKIAQ7 Zx9aa8bb7cc6dd5ee4", []) == [(0, 17, "id"), (18, 36, "key")]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=hunter22 b", 7), (2, None, 8), (3, "clean", 9)], "doc_id long, text string, spans long")
     assert [tuple(r) for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == [(1, "a [REDACTED] b", 7), (2, None, 8), (3, "clean", 9)]
