@@ -72,6 +72,19 @@ def op5_base(t):
     return n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in out).encode()).hexdigest()
 
 
+def op5_links(t):
+    """All pairs of parts compared; a secret's run by look-ahead from every place."""
+    base = [(m.start(), m.end(), "assign") for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([a-z0-9+/_.=-]{6,})", t)]
+    base += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]{16,}", t)] + [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]{24,}", t)]
+    weak = [(m.start(), m.end(), "id") for m in re.finditer(r"(?a)(?i:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']? *[:=] *[\"']?[A-Za-z0-9@._-]{3,}|(?<![\w+/-])AKIA[A-Z0-9]{1,15}(?![\w+/-])", t)]
+    weak += [(m.start(), m.end(), "host") for m in re.finditer(r"(?a)(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.)+[a-z]{2,}:\d{2,5}(?!\d)", t)]
+    weak += [(m.start(), m.end(), "key") for m in re.finditer(r"(?a)(?<![A-Za-z0-9])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}", t)]
+    weak = [w for w in weak if not any(w[0] < e and s < w[1] for s, e, _ in base)]
+    secret = lambda p: p[2] in ("key", "assign", "hex")
+    near = lambda p, q: not re.search(r"\n[ \t]*\n", t[min(p[0], q[0]) : max(p[1], q[1])])
+    return sorted(w for w in weak if any(secret(w) != secret(q) and w[:2] != q[:2] and near(w, q) for q in weak + base))
+
+
 def op7(t):
     w = words(t)
     three = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
