@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN_CACHE_LIMIT = 1_000_000
+HOT = 1_000
 BLANK_THEN_SPACE = r" [\s\v\x1c-\x1f\x{85}\p{Z}]"
 
 
@@ -81,6 +82,15 @@ def clean(df: DataFrame, key: str, *more: Column) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), *more)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with one row per group, whose column n is the group's size among `total` rows.
+
+    Groups of more than a HOT-th of all rows are fewer than HOT, so they are broadcast; no other key is large.
+    """
+    hot, rest = F.broadcast(groups.where(F.col("n") * HOT > total)), groups.where(F.col("n") * HOT <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def rolling(hashes: np.ndarray, width: int, mult: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A mixed 64-bit hash of every run of `width` items."""
     n = len(hashes) - width + 1

@@ -65,7 +65,7 @@ def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
+    return phrases.repeated_words(table(spark, sf_dir, "documents"))
 
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,34 @@ def test_phrases_with_repeated_ids(spark):
     t = " ".join(f"u{i}" for i in range(30))
     rows = phrases.repeated_words(spark.createDataFrame([(1, t), (1, t), (None, t), (2, "x")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 30), (1, 30), (2, 0)]
+    rows = phrases.repeated_words(spark.createDataFrame([(1, t), (1, t), (1, t)], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in rows) == [0, 30, 30]
+
+
+def test_phrases_tell_colliding_words_apart(spark):
+    """Polynomials modulo 2**64 give both 1,024-letter words one hash."""
+    parity = [k.bit_count() % 2 for k in range(1024)]
+    one, two = "".join("ab"[x] for x in parity), "".join("ba"[x] for x in parity)
+    same = " ".join(f"u{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"x {same} {one}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in phrases.repeated_words(df).collect()) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_drop_repeats_keeps_rows_of_equal_ids(spark):
+    t, v = " ".join(f"u{i}" for i in range(30)), " ".join(f"v{i}" for i in range(60))
+    for i in (1, None):
+        df = spark.createDataFrame([(i, t, "a"), (i, t, "b"), (i, f"{v} {t}", "c")], "doc_id long, text string, shard string")
+        out = phrases.drop_repeats(df).collect()
+        assert sorted(r.shard for r in out) == ["a", "b", "c"]
+        assert sorted(x for r in out for x in r.text.split()) == sorted(f"{t} {v}".split())
+        assert sum(t in r.text for r in out) == 1
+
+
+def test_phrases_of_long_lines_and_words(spark):
+    word, line = "w" * 1_500_000, " ".join(f"q{i % 70_000}" for i in range(150_000))
+    df = spark.createDataFrame([(1, word), (2, line), (3, f"{word} {line[:200]}"), (4, "\n" * 500_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in phrases.repeated_words(df).collect()}
+    assert got == {1: (1, 0), 2: (150_000, 80_000), 3: (len(line[:200].split()) + 1, len(line[:200].split()) - 1 if line[200] != " " else len(line[:200].split())), 4: (0, 0)}
 
 
 def test_drop_repeats_keeps_columns(spark):
