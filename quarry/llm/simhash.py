@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, claim, clean, components
+from .common import Stage, claim, clean, components, join_groups
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SAMPLE = 131_072
@@ -211,8 +211,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
     return prints.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-VIEWS, VIEW_SHINGLES, SKETCH, BAND, BLOCK = 16, 4, 256, 0.15, 1_024
+VIEWS, VIEW_SHINGLES, SKETCH, BAND, CELL = 16, 4, 256, 0.15, 400_000
 MULTS = np.random.default_rng(16).integers(0, 2**64, (VIEWS, 2), np.uint64) | np.uint64(1)  # multiples of one number would order alike
+NONE = -(2**63)
 
 
 def shingles(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
@@ -226,8 +227,8 @@ def shingles(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
     return b" ".join(words), np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
 
 
-def views(text: str | None, shingle: int) -> tuple[bytes, list[int], bytes]:
-    """Digest of the normalised words; SimHash fingerprints of VIEWS samples of the shingle set; its sketch.
+def views(text: str | None, shingle: int) -> tuple[bytes, list[int], bytes, int]:
+    """Digest of the normalised words; SimHash fingerprints of VIEWS samples of the shingle set; its sketch and size.
 
     A view samples the VIEW_SHINGLES shingles that come first in an order of its own, so texts of similarity s
     have a view in common with probability 1 - (1 - s**4)**16, 0.9998 at 0.8. The sketch holds the SKETCH smallest
@@ -243,7 +244,7 @@ def views(text: str | None, shingle: int) -> tuple[bytes, list[int], bytes]:
         ones = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
         fps.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True))
     small = (h >> np.uint64(32)).astype(np.uint32)  # sorted, as h is
-    return xxhash.xxh3_128_digest(words), fps, np.unique(small[:SKETCH]).tobytes()
+    return xxhash.xxh3_128_digest(words), fps, np.unique(small[:SKETCH]).tobytes(), len(h)
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -258,7 +259,7 @@ def similarity(a: bytes, b: bytes) -> float:
 def block_links(ids: np.ndarray, comp: np.ndarray, home: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links of home rows with all rows of a block that join what `comp` leaves apart, judged on whole shingle sets."""
     size = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     label, edges = np.unique(comp, return_inverse=True)[1], []
@@ -276,35 +277,46 @@ def block_links(ids: np.ndarray, comp: np.ndarray, home: np.ndarray, sets: list[
     return edges
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of documents that are no longer the first of their near-duplicate group.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with columns c0, c1, ..., their key (k, o), doc_id and the hash of the text, and where text is."""
+    names = docs.columns
+    cols = [f"c{i}" for i in range(len(names))]
+    key, body = cols[names.index("doc_id")], cols[names.index("text")]
+    return docs.toDF(*cols).withColumns({"k": F.coalesce(F.col(key).cast("long"), F.lit(NONE)), "o": F.xxhash64(body)}), [body, *cols]
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(gone, twins): keys (k, o) of all rows behind the first of their near-duplicate group, and of firsts that several rows equal.
+
+    A row's key is its doc_id (null: least) and the hash of its text; the least key of a group is its first.
 
     Exact copies (same normalised words) are folded first. Fingerprints of all views within one bit are linked by the
     vantage-point trees; documents of equal or linked fingerprints are a crowd. Each document is compared with one leader
     of its crowd, then, in crowds of which two components or more are left, with the document of the most links. What
     is still apart is compared in full: all that is outside a crowd's largest component with the whole crowd, in blocks
-    of some BLOCK by BLOCK documents, so that crowds of any size are spread. A link needs shingle similarity of `least`: sketches decide
-    where they hold the whole sets; of longer texts they only sift out what is BAND (six deviations) below, and the rest
-    is judged on the whole sets.
+    of some CELL by CELL shingles, so that crowds of any size are spread and a block fits a task. A link needs shingle
+    similarity of `least`: sketches decide where they hold the whole sets; of longer texts they only sift out what is BAND
+    (six deviations) below, and the rest is judged on the whole sets.
     """
     stage = Stage(docs.sparkSession)
+    rows, (body, *_) = _keyed(docs)
 
     def run(batches):
         claim("views", None)
+        kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64())
         for batch in batches:
-            rows = [views(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary())))], names=["doc_id", "digest", "fps", "sketch"])
-
-    seen = stage.write(clean(docs.where("doc_id is not null"), "doc_id", "text").mapInArrow(run, "doc_id long, digest binary, fps array<long>, sketch binary"))
-    first = stage.write(seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    copies = seen.select("doc_id", "digest").join(first.where("n > 1").select("digest", "rep"), "digest").where("doc_id > rep").select("doc_id", "rep")
-    reps = seen.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    held = stage.write(reps.select("doc_id", F.explode(F.array_distinct("fps")).alias("fp")))
+            found = [views(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in found], t) for i, t in enumerate(kinds))], names=["k", "o", "digest", "fps", "sketch", "size"])
+
+    seen = stage.write(rows.select("k", "o", body).mapInArrow(run, "k long, o long, digest binary, fps array<long>, sketch binary, size long"))
+    # one node for each distinct text; its number is fixed by the write
+    folded = seen.groupBy("digest").agg(F.min(F.struct("k", "o")).alias("head"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fps", "sketch", "size")))
+    nodes = stage.write(folded.withColumn("id", F.monotonically_increasing_id()))
+    held = stage.write(nodes.select("id", F.explode(F.array_distinct("fps")).alias("fp")))
     links = near_links(stage, held.select("fp").distinct(), radius=1)
     crowd = components(stage, links).withColumnRenamed("node", "fp")
-    keyed = stage.write(held.join(crowd, "fp", "left").select("doc_id", F.coalesce("component", "fp").alias("key")).distinct())
-    sketch = seen.select("doc_id", "sketch")
-    ends = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    keyed = stage.write(held.join(crowd, "fp", "left").select("id", F.coalesce("component", "fp").alias("key")).distinct())
+    sketch = nodes.select("id", "sketch")
 
     def sift(batches):
         for batch in batches:
@@ -313,62 +325,72 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
             ok = [similarity(p, q) >= (least if k else least - BAND) for p, q, k in zip(x, y, sure, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(v, t).filter(pa.array(ok, pa.bool_())) for v, t in ((a, pa.int64()), (b, pa.int64()), (sure, pa.bool_()))], names=["a", "b", "sure"])
 
-    def judge(batches):
-        for batch in batches:
-            a, b, x, y = batch.columns
-            sets = ((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True))
-            ok = [(n := len(np.intersect1d(p, q, assume_unique=True))) / (len(p) + len(q) - n) >= least for p, q in sets]
-            yield pa.RecordBatch.from_arrays([v.filter(pa.array(ok, pa.bool_())) for v in (a, b)], schema=ends)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-        both = pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketch.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
+        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        both = pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketch.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
         sifted = stage.write(both.mapInArrow(sift, "a long, b long, sure boolean"))
         long = sifted.where("not sure").select("a", "b")
-        sets = whole(long.select(F.explode(F.array("a", "b")).alias("doc_id")))
-        full = long.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-        out = stage.write(sifted.where("sure").select("a", "b").unionByName(full.mapInArrow(judge, "a long, b long")))
+        sets = whole(long.select(F.explode(F.array("a", "b")).alias("id")))
+        full = long.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
+        common = F.size(F.array_intersect("x", "y"))  # row by row, so that no batch holds many whole sets
+        out = stage.write(sifted.where("sure").select("a", "b").unionByName(full.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")))
         stage.drop(sets)
         return out
 
     def whole(ids: DataFrame) -> DataFrame:
+        """(id, shingles) of nodes, from the text of one of their rows."""
+
         def run(batches):
             for batch in batches:
-                sets = [shingles(t, shingle)[1].tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                sets = [shingles(t, shingle)[1].view(np.int64) for t in batch.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
 
-        return stage.write(clean(docs.where("doc_id is not null"), "doc_id", "text").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary"))
+        heads = nodes.join(ids.distinct(), "id", "left_semi").select("id", F.col("head.k").alias("k"), F.col("head.o").alias("o"))
+        return stage.write(rows.select("k", "o", body).dropDuplicates(["k", "o"]).join(heads, ["k", "o"]).select("id", body).mapInArrow(run, "id long, shingles array<long>"))
 
     def apart(near: DataFrame) -> DataFrame:
-        """Crowds of two components or more, with each document's component, that of most, and how many are not in it."""
-        full = keyed.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        parts = full.groupBy("key", "c").agg(F.count("*").alias("k"))
-        keys = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
-        return stage.write(full.join(keys.select("key", "n", F.col("m.c").alias("major"), (F.col("n") - F.col("m.k")).alias("minor")), "key"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        links = block_links(pdf["doc_id"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64), pdf["home"].to_numpy(bool), sets, least)
-        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype=np.int64)
-
-    leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.doc_id").alias("b"))
-    found = verified(keyed.join(leader, "key").where("doc_id != b"))
+        """Crowds of two components or more, with each document's component, that of most, and the shingles in and beside it."""
+        full = keyed.join(near.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")).join(nodes.select("id", "size"), "id")
+        parts = full.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum("size").alias("w"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("k", "c", "w")).alias("m"), F.sum("k").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
+        return stage.write(full.join(keys.select("key", F.col("w").alias("all"), F.col("m.c").alias("major"), (F.col("w") - F.col("m.w")).alias("minor")), "key"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles")]
+        links = block_links(*(table.column(c).to_numpy() for c in ("id", "c", "home")), sets, least)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.id").alias("b"))
+    found = verified(keyed.join(leader, "key").where("id != b"))
     rest = apart(components(stage, found))
-    degree = found.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
-    hub = rest.join(degree, "doc_id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "doc_id", "c")).alias("m")).select("key", F.col("m.doc_id").alias("b"), F.col("m.c").alias("of"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    hub = rest.join(degree, "id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "id", "c")).alias("m")).select("key", F.col("m.id").alias("b"), F.col("m.c").alias("of"))
     found = found.unionByName(verified(rest.join(hub, "key").where("c != of")))
     rest = apart(components(stage, found))
-    high, wide = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("minor", "n"))
-    row, col = F.pmod(F.xxhash64("doc_id", F.lit(1)), high).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(2)), wide).cast("int")
-    mine = rest.where("c != major").select("key", "doc_id", "c", F.lit(True).alias("home"), row.alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
-    others = rest.select("key", "doc_id", "c", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), high - 1)).alias("i"), col.alias("j"))
-    cells = mine.unionByName(others).join(whole(rest.select("doc_id")), "doc_id")
-    links = stage.write(cells.groupBy("key", "i", "j").applyInPandas(solve, "a long, b long"))
-    near = components(stage, found.unionByName(links))
-    behind = near.where("node != component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    return stage.write(copies.select("doc_id", F.col("rep").alias("component_id")).unionByName(behind))
+    high, wide = (F.ceil(F.col(c) / CELL).cast("int") for c in ("minor", "all"))
+    row, col = F.pmod(F.xxhash64("id", F.lit(1)), high).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), wide).cast("int")
+    mine = rest.where("c != major").select("key", "id", "c", F.lit(True).alias("home"), row.alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
+    others = rest.select("key", "id", "c", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), high - 1)).alias("i"), col.alias("j"))
+    cells = mine.unionByName(others).join(whole(rest.select("id")), "id")
+    links = stage.write(cells.groupBy("key", "i", "j").applyInArrow(solve, "a long, b long"))
+    near = components(stage, found.unionByName(links)).withColumnRenamed("node", "id")
+    named = nodes.select("id", "digest", "head", "n").join(near, "id", "left")
+    best = named.where("component is not null").groupBy("component").agg(F.min("head").alias("first"))
+    more = stage.write(named.join(best, "component", "left").select("digest", "n", F.coalesce("first", "head").alias("first")).where("n > 1 or first != head"))
+    total = seen.count()
+    mine = stage.write(join_groups(seen.select("k", "o", "digest"), more.select("digest", "n", "first"), "digest", total).select("k", "o", (F.struct("k", "o") == F.col("first")).alias("kept")))
+    twins = mine.where("kept").groupBy("k", "o").count().where("count > 1").select("k", "o")
+    return mine.where("not kept").select("k", "o").distinct(), stage.write(twins)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents, with all columns, but for those that near_groups finds behind another."""
-    return docs.join(near_groups(docs, shingle, least).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows, with all columns, but for those that near_groups finds behind another; of equal rows one stays."""
+    gone, twins = near_groups(docs, shingle, least)
+    rows, (_, *cols) = _keyed(docs)
+    rest = rows.join(gone.unionByName(twins), ["k", "o"], "left_anti").select(cols)
+    if not twins.isEmpty():
+        one = rows.join(twins, ["k", "o"], "left_semi").groupBy("k", "o").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("one"))
+        rest = rest.unionByName(one.select("one.*"))
+    return rest.toDF(*docs.columns)

@@ -146,6 +146,18 @@ def test_near_groups_judge_long_texts_exactly(spark):
     assert kept == want
 
 
+def test_near_groups_tell_rows_of_equal_ids_apart(spark):
+    r = np.random.default_rng(6)
+    v, other = (" ".join(r.choice([f"v{i}" for i in range(5000)], 90)) for _ in range(2))
+    rows = [(1, v, "a"), (2, v, "b"), (2, other, "c"), (3, other, "d"), (3, other, "d"), (None, "alone", "e"), (None, "alone", "e"), (None, f"{v} end", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    kept = sorted(tuple(x)[::2] for x in df.transform(simhash.keep_one).select("doc_id", "text", "k").collect() if x.doc_id)
+    assert kept == [(2, "c")]
+    assert sorted(x.k for x in simhash.keep_one(df).collect()) == ["c", "e", "f"]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one(df).columns == df.columns
+
+
 def test_block_links_join_all_that_is_near():
     r = np.random.default_rng(3)
     base = [r.choice(2**40, 60, replace=False).astype(np.uint64) for _ in range(12)]
