@@ -111,28 +111,31 @@ class CachedTokenizer:
     line feeds are encoded alone. mode "bytes": a blank opens a token and nothing joins across a blank
     that has no white space behind it; texts with a blank before white space are encoded whole.
     In both a run of letters and the punctuation behind it are tokens apart, so `word,` reuses `word`.
-    Strings that name special tokens are ordinary text. The cache keeps two generations of `limit` words at most, some
+    Strings that name special tokens become those tokens, as the library does by default; texts that hold one are
+    encoded whole. With `plain_specials` they are ordinary text (the library's encode_special_tokens). The cache keeps two generations of `limit` words at most, some
     250 bytes each.
     """
 
-    _made: dict[tuple[str, str], CachedTokenizer] = {}
+    _made: dict[tuple[str, str, bool], CachedTokenizer] = {}
     MARK = "\x01"
 
     @classmethod
-    def get(cls, path: str, mode: str, limit: int = TOKEN_CACHE_LIMIT) -> CachedTokenizer:
+    def get(cls, path: str, mode: str, limit: int = TOKEN_CACHE_LIMIT, plain_specials: bool = False) -> CachedTokenizer:
         claim("tokens", cls._made.clear)
-        if (path, mode) not in cls._made:
-            cls._made[path, mode] = cls(path, mode)
-        cls._made[path, mode].limit = limit
-        return cls._made[path, mode]
+        key = path, mode, plain_specials
+        if key not in cls._made:
+            cls._made[key] = cls(path, mode, plain_specials)
+        cls._made[key].limit = limit
+        return cls._made[key]
 
-    def __init__(self, path: str, mode: str):
+    def __init__(self, path: str, mode: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = True  # for words; texts that hold a special token are encoded whole
+        self.specials = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.mode, self.limit = mode, TOKEN_CACHE_LIMIT
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -144,6 +147,13 @@ class CachedTokenizer:
         self.feed = np.array(self.tok.encode("\n", add_special_tokens=False).ids, self.kind).tobytes()
         self.stops = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in ".,"}
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        self.tok.encode_special_tokens = not self.specials
+        try:
+            return self._alone(texts)
+        finally:
+            self.tok.encode_special_tokens = True
+
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -236,23 +246,25 @@ class CachedTokenizer:
         Words are split and numbered by Arrow; Python sees each distinct word of the batch once.
         """
         texts = pc.fill_null(texts, "")
-        if self.mode == "words":
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        else:
-            whole = pc.match_substring_regex(texts, BLANK_THEN_SPACE)
-            lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        whole = pa.array(np.zeros(len(texts), bool)) if self.mode == "words" else pc.match_substring_regex(texts, BLANK_THEN_SPACE)
+        for name in self.specials:
+            whole = pc.or_(whole, pc.match_substring(texts, name))
+        apart = pc.any(whole).as_py()
+        split = pc.if_else(whole, "", texts) if apart else texts
+        lists = pc.split_pattern(pc.replace_substring(split, "\n", " ") if self.mode == "words" else split, " ")
         words, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         coded = words.dictionary_encode()
         distinct, row = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         self._learn(set(distinct))
         ids = list(map(self.now.__getitem__, distinct))
-        if self.mode == "bytes":  # the first word has no blank before it; texts to be encoded whole stand in its place
-            first = [t if w else h for h, w, t in zip(words.take(pa.array(at[:-1])).to_pylist(), whole.to_pylist(), pc.if_else(whole, texts, "").to_pylist(), strict=True)]
+        if self.mode == "bytes" or apart:  # the first word has no blank before it; texts to be encoded whole stand in its place
+            heads = words.take(pa.array(at[:-1])).to_pylist()
+            first = [t if w else h for h, w, t in zip(heads, whole.to_pylist(), pc.if_else(whole, texts, "").to_pylist(), strict=True)]
             row = row.copy()
             row[at[:-1]] = len(ids) + np.arange(len(first))
             for i in range(0, len(first), 1024):
-                ids += self._alone(first[i : i + 1024])
+                ids += self._whole(first[i : i + 1024])
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
         held, start, n = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size, size[row]
         ends = np.concatenate([[0], np.cumsum(n)])

@@ -6,7 +6,8 @@ holds `share` of them, and the others are kept as (position, residual) exception
 Segments are rows of a Parquet table, so Spark's commit protocol and any store that Spark reaches serve them.
 
 Null texts are empty; an empty text has no ids but the end id. Rows with equal or null doc_id keep one entry each
-(null first, ties by text). An empty table gives no segments and no rows. Other columns are ignored.
+(null first; ties: null texts first, then by a hash of the text). Strings that name special tokens become those tokens,
+as the tokenizers library does by default; `plain_specials` takes them as text. An empty table gives no segments and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import CachedTokenizer, Stage, clean, shuffle_partitions
 
 BLOCK = 128
+PART_ROWS = 200_000
 HEAD = struct.Struct("<4sIQIB")
 MAGIC = b"PFR1"
 BITS = np.frexp(np.arange(65_536.0))[1].astype(np.uint8)
@@ -139,13 +141,13 @@ class Segment:
 SEGMENT_SCHEMA = "part long, seg long, n_docs long, n_tokens long, payload binary"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, mode: str, end_id: int, segment_tokens: int = 1_000_000, share: float = 0.9) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, mode: str, end_id: int, segment_tokens: int = 1_000_000, share: float = 0.9, plain_specials: bool = False) -> DataFrame:
     """Segments (part, seg, n_docs, n_tokens, payload) that hold all documents' ids in ascending doc_id order."""
 
     def encode(batches):
         from pyspark import TaskContext
 
-        part, seg, tok = TaskContext.get().partitionId(), 0, CachedTokenizer.get(tokenizer, mode)
+        part, seg, tok = TaskContext.get().partitionId(), 0, CachedTokenizer.get(tokenizer, mode, plain_specials=plain_specials)
         keys: list = []
         parts: list[np.ndarray] = []
         lengths: list[int] = []
@@ -170,8 +172,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, mode: str, end_id: int, segmen
         if keys:
             yield flush()
 
-    spark = docs.sparkSession
-    ordered = clean(docs, "doc_id", "text").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = clean(docs, "doc_id", "text")
+    n = max(shuffle_partitions(docs.sparkSession), -(-rows.count() // PART_ROWS))
+    tie = [F.col("text").isNotNull(), F.xxhash64("text")]  # ranges split rows of equal or null doc_id, too
+    ordered = rows.repartitionByRange(n, "doc_id", *tie).sortWithinPartitions("doc_id", *tie, "text")
     return ordered.mapInArrow(encode, SEGMENT_SCHEMA)
 
 

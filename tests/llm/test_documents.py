@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import packing, phrases, quality, queries, secrets, simhash, token_blocks
+from quarry.llm.common import CachedTokenizer
 
 DOCS = documents()
 
@@ -31,7 +32,6 @@ def none(spark, tmp_path_factory):
 
 def ids_of(name):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     return {d: tok.encode(t or "", add_special_tokens=False).ids for d, t in DOCS}
 
 
@@ -49,6 +49,24 @@ def test_token_blocks(spark, sf_dir):
     assert {tuple(r) for r in queries.op2_token_blocks(spark, sf_dir).collect()} == want
 
 
+@pytest.mark.parametrize("name, mode", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_special_tokens_are_read_as_the_library_does(name, mode):
+    import pyarrow as pa
+
+    path = public_tokenizers.path(name)
+    r = np.random.default_rng(12)
+    bits = ["a", "B,", " ", "\n", "  ", "\t", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "don't", "é", "\u00a0", "\u2003", "word.", "x\x01"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", None, ""] + ["".join(r.choice(bits, r.integers(1, 12))) for _ in range(1500)]
+    for plain in (False, True):
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = plain
+        made = CachedTokenizer(path, mode, plain)
+        for k in range(0, len(texts), 100):
+            ids, ends = made.encode(pa.array(texts[k : k + 100], pa.string()))
+            want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts[k : k + 100]]
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
 def test_token_segments_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 127, 128, 129, 5000):
@@ -272,7 +290,38 @@ def test_packing(spark, sf_dir):
             end += n
         assert end == window <= 1024 and window & (window - 1) == 0
         steps.setdefault(step, []).append(window)
-    assert all(len(set(w)) == 1 and sum(w) <= 65_536 for w in steps.values())
+    assert all(sum(w) <= 65_536 for w in steps.values())
+
+
+def test_steps_hold_equal_token_counts(spark):
+    """Four partitions of some groups each: all steps of all partitions are even."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(["word"] * int(n)) for n in r.integers(1, 900, 4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(df, queries.BYTE_BPE, "bytes", 0, step_tokens=8192, group_tokens=100_000).select("step", "length").collect()
+    held = {}
+    for x in rows:
+        held[x.step] = held.get(x.step, 0) + x.length
+    assert len(held) > 100 and max(held.values()) <= 8192
+    assert min(held.values()) >= 8192 * (1 - 8192 / 100_000) - 1024
+
+
+def test_steps_of_one_group_differ_by_a_window():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 64, 65, 700):
+        windows = r.choice([1024, 512, 256, 128, 64, 1], n).tolist()
+        held = {}
+        for w, s in zip(windows, packing.deal_steps(windows, 65_536), strict=True):
+            held[s] = held.get(s, 0) + w
+        assert max(held.values()) <= 65_536 and max(held.values()) - min(held.values()) <= 1024
+        assert len(held) == -(-sum(windows) // 65_536)
+
+
+def test_packing_keeps_equal_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a", 1), (1, "b", 2), (1, "b", 3), (None, None, 4)], "doc_id long, text string, step int")
+    rows = packing.pack_documents(df, queries.BYTE_BPE, "bytes", 0).collect()
+    assert sorted((x.doc_id or 0, x.doc_tokens) for x in rows if x.start == 0) == [(0, 1), (0, 2), (1, 2), (1, 2)]
+    assert sum(x.length for x in rows) == 7
 
 
 def test_packing_plan_is_whole():
