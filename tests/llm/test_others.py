@@ -95,6 +95,48 @@ def test_reply_trees_choose_the_best_branch(spark):
     assert every == {("root", "poor", "more"): 1.5, ("root", "good"): 2.0, ("orphan",): 9.0, ("",): 0.0}
 
 
+def best_branches(nodes, branches):
+    """All paths by walking up from every leaf."""
+    by = {n[1]: n for n in nodes}
+    parents = {n[2] for n in nodes}
+    found = defaultdict(list)
+    for n in nodes:
+        if n[1] in parents:
+            continue
+        path, at, seen = [], n[1], set()
+        while at in by and at not in seen:
+            seen.add(at)
+            path.append(by[at])
+            at = by[at][2]
+        if at not in by:
+            found[n[0]].append((-sum(x[3] or 0.0 for x in path), n[1], [(x[4] or "", x[5] or "") for x in path[::-1]]))
+    return sorted((tree, -total, leaf, path) for tree, all_ in found.items() for total, leaf, path in sorted(all_)[:branches])
+
+
+def test_forked_trees_with_ties_scores_and_cycles(spark):
+    r = np.random.default_rng(11)
+    nodes, n = [], 0
+    for tree in range(30):
+        mine = []
+        for _ in range(int(r.integers(1, 40))):
+            n += 1
+            parent = None if not mine or r.random() < 0.05 else -n if r.random() < 0.05 else mine[int(r.integers(len(mine)))]
+            nodes.append((tree, n, parent, [None, 0.0, 0.5, 1.0][int(r.integers(4))], str(r.choice(["user", "assistant"])), f"text {n}"))
+            mine.append(n)
+    nodes += [(40, 9001, 9003, 1.0, "user", "on"), (40, 9002, 9001, 1.0, "user", "a"), (40, 9003, 9002, 1.0, "user", "cycle"), (40, 9004, 9002, 5.0, "user", "below"), (41, 9005, 9005, 1.0, "user", "own parent"), (42, 9006, None, 1.0, "user", "root")]
+    nodes += [(43, 9100 + k, 9099 + k if k else None, 1.0, "user", f"deep {k}") for k in range(37)]
+    df = spark.createDataFrame(nodes, "tree long, node long, parent long, score double, role string, text string").withColumn("total", F.lit("clash"))
+    for branches in (1, 3, None):
+        got = sorted((x.tree, x.score, x.leaf, reply_trees.parse_turns(x.formatted)) for x in reply_trees.reply_conversations(df, branches).collect())
+        assert got == best_branches(nodes, branches)
+    assert reply_trees.reply_conversations(df.limit(0)).count() == 0
+
+
+def test_reply_chains_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.conv_id for r in queries.op4_reply_trees(spark, str(tmp_path)).collect()] == [-7]
+
+
 def test_escapes_are_reversible():
     for x in ("", "\\", "<\\|", "<|turn|>", "[INST][/INST]", "<s></s><<SYS>><</SYS>>", "<\\\\|<|\\", "<|\\|>"):
         assert reply_trees.unescape(reply_trees.escape(x)) == x
