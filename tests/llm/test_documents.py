@@ -5,7 +5,7 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import crc, documents, op3, op5_base, op5_links, op7, op9
+from brute import crc, documents, op3, op5_base, op5_links, op7, op9, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -257,15 +257,36 @@ def test_quality(spark, sf_dir):
     for d, t in DOCS:
         r = got[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == op7(t), t
-        assert r.kept == (quality.first_failure(quality.Measures(t), list(quality.RULES)) is None)
+        assert r.kept == (quality.first_failure(quality.Measures(t)) is None)
         assert not (r.base_failed and r.kept)
 
 
 def test_cascade_order_changes_no_verdict():
     for _, t in DOCS:
-        assert (quality.first_failure(quality.Measures(t), list(quality.RULES)) is None) == (quality.first_failure(quality.Measures(t), list(quality.RULES)[::-1]) is None)
-    order = quality.order_rules([t for _, t in DOCS] * 3)
-    assert [x[2] / max(x[1], 1e-9) for x in order] == sorted((x[2] / max(x[1], 1e-9) for x in order), reverse=True)
+        assert (quality.first_failure(quality.Measures(t)) is None) == (quality.first_failure(quality.Measures(t), quality.RULES[::-1]) is None)
+    cascade = quality.Cascade()
+    for k in range(200):
+        for _, t in DOCS:
+            t = f"{t or ''} {k}"
+            assert cascade.keeps(quality.Measures(t)) == (quality.first_failure(quality.Measures(t)) is None)
+    assert cascade.n >= 64 and sorted(cascade.order) == list(range(len(quality.RULES)))
+
+
+def test_cascade_is_ordered_by_rejections_among_what_is_left_per_new_cost():
+    rules = tuple(quality.Rule(n, needs, lambda m: False) for n, needs in (("a", ("x",)), ("b", ("x", "y")), ("c", ("z",)), ("d", ("w",))))
+    rejects = np.zeros((10, 4), bool)
+    rejects[:6, 0] = True  # a: 6 for 1 s
+    rejects[:8, 1] = True  # b: 8 for 2 s alone, 2 more for 1 s behind a
+    rejects[:5, 2] = True  # c: 5 for 2 s, nothing behind a
+    rejects[8:, 3] = True  # d: 2 for half a second
+    assert quality.greedy_order(rejects, {"x": 1.0, "y": 1.0, "z": 2.0, "w": 0.5}, rules) == [0, 3, 1, 2]
+    assert quality.greedy_order(rejects[:0], {}, rules) == [0, 1, 2, 3]
+
+
+def test_quality_of_equal_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, "x"), (1, None, "y"), (None, prose(80), "z")], "doc_id long, text string, kept string")
+    assert [r.kept for r in quality.quality_filter(df).collect()] == ["z"]
+    assert sorted((r.doc_id or 0, r.kept, r.rejected_by) for r in quality.quality_measures(df).collect()) == [(0, True, None), (1, False, "base"), (1, False, "base")]
 
 
 def test_packing(spark, sf_dir):
