@@ -91,6 +91,9 @@ class Lattices:
         self.ids = {pieces[i]: i for i in plain}
         self.weight = weight
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        spell = {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.spelled = [spell.get(i) or (b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)]
+        self.marked = [p.startswith(MARK) for p in pieces]
         self.unit_form = UNIT if any(re.search(r"[^\W\d_][.,]", pieces[i]) for i in plain) else SHORT_UNIT
         self._build_trie()
         self.clear()
@@ -289,6 +292,14 @@ class Lattices:
             out[start[r] + k] = e
         return out, n
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, as the library decodes them."""
+        raw = b"".join(map(self.spelled.__getitem__, ids.tolist()))
+        try:
+            return (raw[1:] if raw[:1] == b" " and self.marked[ids[0]] else raw).decode()
+        except UnicodeDecodeError:  # bytes that make no character
+            return self.sp.decode(ids.tolist())
+
     def tokens(self, edges: np.ndarray) -> np.ndarray:
         ids = self.piece[edges]
         odd = np.flatnonzero(ids < 0)
@@ -314,9 +325,9 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
     bound = -np.log(-np.log(uniform(own + np.uint64(0x51ED27))))
     paths: list[list] = [[] for _ in texts]  # of a text: [edges, tokens a word, log p before each edge, rest bounds, edges left by]
 
-    def draw(s: int, rows: np.ndarray):
-        """Whole ancestral samples number s of the given texts."""
-        pick = np.repeat(np.isin(np.arange(len(texts)), rows), count)
+    def draw(s: int, after: np.ndarray):
+        """Ancestral samples number s of the words behind word after[d] of each text d."""
+        pick = np.arange(len(nodes)) - begin[doc] > after[doc]
         salt = mix(own[doc[pick]] + np.uint64(1000 + s))
         return lat.walk(nodes[pick], mix(salt + place[pick] * GOLD))
 
@@ -328,7 +339,7 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
         g[:skip] = -np.inf
         return lead, g
 
-    edges, n = draw(0, np.arange(len(texts)))
+    edges, n = draw(0, np.full(len(texts), -1))
     ends = np.concatenate([[0], np.cumsum(n)])
     out: list[list] = [[] for _ in texts]
     for d in range(len(texts)):
@@ -340,16 +351,19 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
         rows = np.array([d for d in range(len(texts)) if max((float(p[3].max(initial=-np.inf)) for p in paths[d]), default=-np.inf) > -np.inf and len(out[d]) == s], np.int64)
         if not len(rows):
             break
-        fresh, fn = draw(s, rows)
-        f_ends = np.concatenate([[0], np.cumsum(fn)])
-        at = 0
+        leaves, after = [], count.copy()  # where each text leaves which of its paths; only what is behind is drawn anew
         for d in rows.tolist():
-            words = int(count[d])
             j = max(range(len(paths[d])), key=lambda p: paths[d][p][3].max(initial=-np.inf))
+            i = int(paths[d][j][3].argmax())
+            leaves.append((j, i, int(np.searchsorted(np.cumsum(paths[d][j][1]), i, "right"))))
+            after[d] = leaves[-1][2]
+        fresh, fn = draw(s, after)
+        f_ends = np.concatenate([[0], np.cumsum(fn)])
+        at = 0
+        for d, (j, i, word) in zip(rows.tolist(), leaves, strict=True):
+            words = int(count[d]) - word - 1
             path, sizes, lead, g, left = paths[d][j]
-            i = int(g.argmax())
             top = float(g[i])
-            word = int(np.searchsorted(np.cumsum(sizes), i, "right"))
             node = int(np.searchsorted(lat.first[: lat.nodes + 1], path[i], "right")) - 1
             used = left.setdefault(i, [int(path[i])])
             options = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in used]
@@ -361,9 +375,9 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
             g[i] = truncated(np.array([lead[i] + (np.log(rest) if rest > 0 else -np.inf)]), np.array([top]), np.array([own[d] + np.uint64(9000 + 13 * s)], np.uint64))[0] if rest > 0 else -np.inf
             to = int(lat.to[e])
             tail, tn = lat.walk(np.array([to], np.int64), np.array([mix(own[d : d + 1] + np.uint64(500 + s))[0]], np.uint64)) if to >= 0 else (np.empty(0, np.int64), np.zeros(1, np.int64))
-            a, b = f_ends[at + word + 1], f_ends[at + words]
+            a, b = f_ends[at], f_ends[at + words]
             whole = np.concatenate([path[:i], [e], tail, fresh[a:b]])
-            new_sizes = np.concatenate([sizes[:word], [i - int(sizes[:word].sum()) + 1 + int(tn[0])], fn[at + word + 1 : at + words]])
+            new_sizes = np.concatenate([sizes[:word], [i - int(sizes[:word].sum()) + 1 + int(tn[0])], fn[at : at + words]])
             lead2, g2 = rests(whole, 0.0, top, own[d] + np.uint64(7700 + s), i + 1)
             paths[d].append((whole, new_sizes, lead2, g2, {}))
             out[d].append((lead2[-1], top))
@@ -376,28 +390,38 @@ def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int)
 
 
 SCHEMA = "doc_id long, sample int, n_tokens long, ids binary, log_prob double, perturbed double, inclusion double"
+DECODED = "text_chars long, text_crc32 long"
+
 
+def sample_pieces(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: int = 1, decoded: bool = False) -> DataFrame:
+    """k distinct segmentations of every text, ids as little-endian unsigned 32-bit integers.
 
-def sample_pieces(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: int = 1) -> DataFrame:
-    """k distinct segmentations of every text, ids as little-endian unsigned 32-bit integers."""
+    With `decoded`, each sample's ids are decoded again, and the length and CRC of that text are given besides.
+    """
+    schema = f"{SCHEMA}, {DECODED}" if decoded else SCHEMA
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches):
         lat = Lattices.get(model, alpha)
         for keys, texts in text_batches(batches):
-            rows = [(key, s, len(ids), ids.tobytes(), lp, g, pi) for key, found in zip(keys, sample_texts(lat, keys, texts, k, seed), strict=True) for s, (ids, lp, g, pi) in enumerate(found)]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            rows = []
+            for key, found in zip(keys, sample_texts(lat, keys, texts, k, seed), strict=True):
+                for s, (ids, lp, g, pi) in enumerate(found):
+                    text = lat.decode(ids) if decoded else ""
+                    rows.append((key, s, len(ids), ids.tobytes(), lp, g, pi, *((len(text), zlib.crc32(text.encode())) if decoded else ())))
+            names = [f.split()[0] for f in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
-    return clean(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return clean(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
 def decode_pieces(samples: DataFrame, model: str) -> DataFrame:
     """(doc_id, sample, text_chars, text_crc32, text) of each row's ids."""
 
     def run(batches):
-        sp = Lattices.get(model, 1.0).sp
+        lat = Lattices.get(model, 1.0)
         for batch in batches:
-            texts = [sp.decode(np.frombuffer(raw, "<u4").tolist()) for raw in batch.column(2).to_pylist()]
+            texts = [lat.decode(np.frombuffer(raw, "<u4")) for raw in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "sample", "text_chars", "text_crc32", "text"])
 
-    return samples.select("doc_id", "sample", "ids").mapInArrow(run, "doc_id long, sample int, text_chars long, text_crc32 long, text string")
+    return samples.select("doc_id", "sample", "ids").mapInArrow(run, f"doc_id long, sample int, {DECODED}, text string")

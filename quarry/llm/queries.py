@@ -17,8 +17,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = piece_samples.sample_pieces(table(spark, sf_dir, "documents"), PIECES, k=2)
-    return found.select("doc_id", "sample", "n_tokens", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
+    found = piece_samples.sample_pieces(table(spark, sf_dir, "documents"), PIECES, k=2, decoded=True)
+    return found.select("doc_id", "sample", "n_tokens", F.crc32("ids").alias("ids_crc32"), "text_chars", "text_crc32", "log_prob", "perturbed", "inclusion")
 
 
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -67,6 +68,31 @@ def test_pieces_round_trip_and_ignore_partitions(spark):
     assert one.groupBy("doc_id").agg(F.countDistinct("ids").alias("n"), F.count("*").alias("m")).where("n != m").count() == 0
 
 
+def test_decoding_equals_the_library():
+    lat = piece_samples.Lattices(MODEL, 1.0)
+    r = np.random.default_rng(2)
+    assert lat.decode(np.empty(0, np.uint32)) == ""
+    for _ in range(500):
+        ids = r.integers(0, len(lat.spelled) if r.random() < 0.7 else 300, r.integers(1, 12))
+        assert lat.decode(ids) == lat.sp.decode(ids.tolist()), ids
+    for i in range(len(lat.spelled)):
+        assert lat.decode(np.array([i])) == lat.sp.decode([i]), i
+
+
+def test_pieces_query_decodes_what_it_encodes(spark, tmp_path):
+    docs = [(d, t) for d, t in documents() if t is None or "\x01" not in t]
+    df = spark.createDataFrame([*docs, (7, "twice"), (7, "twice"), (None, "x")], "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("sample", F.lit("clash"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op1_gumbel_pieces(spark, str(tmp_path)).collect()
+    texts = {d: t or "" for d, t in docs} | {7: "twice", None: "x"}
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r.text_chars, r.text_crc32) == (len(t), zlib.crc32(t.encode())) or r.doc_id == 7
+    assert len([r for r in rows if r.doc_id == 7 and r.text_chars == 5]) == 4
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op1_gumbel_pieces(spark, f"{tmp_path}/none").count() == 0
+
+
 def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
