@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .phrases import WINDOW
-from .url_templates import DEPTH, LIMIT, RULES, SHARE, SUPPORT, WEIGHT, Z2
+from .url_templates import LIMIT, RULES, SUPPORT, VARIABLE, WEIGHT, Z2
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -36,19 +36,15 @@ def urls() -> str:
     ranked = sorted(RULES, key=lambda r: -len(r[0]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ranked) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for r, v in ranked) + " END"
-    out = """WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    return rf"""WITH RECURSIVE p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
  marks AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
- t0 AS (SELECT host, path, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, CASE WHEN path = '' THEN [] ELSE string_split(substr(path, 2), '/') END AS parts, '' AS template FROM u LEFT JOIN marks USING (page_id) GROUP BY host, path)"""
-    for k in range(DEPTH):
-        out += f""",
- h{k} AS (SELECT *, parts[{k + 1}] AS seg FROM t{k}), b{k} AS (SELECT host, template, seg, sum(n) AS n, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(bad) AS DOUBLE) AS bad FROM h{k} WHERE seg IS NOT NULL GROUP BY ALL),
- a{k} AS (SELECT *, sum(n) OVER w AS all_n, sum(labelled) OVER w AS all_labelled, sum(bad) OVER w AS all_bad FROM b{k} WINDOW w AS (PARTITION BY host, template)),
- c{k} AS (SELECT host, template, seg FROM a{k} WHERE NOT regexp_matches(seg, '^[0-9]') AND n >= {SUPPORT} AND n >= CAST({SHARE} AS DOUBLE) * all_n AND labelled >= {SUPPORT} AND (bad * all_labelled - labelled * all_bad) * (bad * all_labelled - labelled * all_bad) > CAST({Z2} AS DOUBLE) * (labelled * all_bad * (all_labelled - all_bad))),
- t{k + 1} AS (SELECT h.host, path, n, labelled, bad, parts, CASE WHEN h.seg IS NULL THEN h.template ELSE h.template || '/' || coalesce(c.seg, '*') END AS template FROM h{k} h LEFT JOIN c{k} c ON h.host = c.host AND h.template = c.template AND h.seg = c.seg)"""
-    return f"""{out},
- t AS (SELECT host, path, labelled, bad, CASE WHEN len(parts) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM t{DEPTH}),
- rate AS (SELECT coalesce(CAST(sum(labelled) - sum(bad) AS DOUBLE) / nullif(sum(labelled), 0), 1.0) AS r FROM t),
+ folded AS (SELECT host, path, CAST(count(bad) AS DOUBLE) AS labelled, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, CASE WHEN path = '' THEN [] ELSE string_split(substr(path, 2), '/') END AS parts FROM u LEFT JOIN marks USING (page_id) GROUP BY host, path),
+ tree(host, path, labelled, bad, parts, template, level) AS (SELECT *, '', 0 FROM folded UNION ALL
+  SELECT host, path, labelled, bad, parts, template || '/' || CASE WHEN NOT regexp_matches(parts[level + 1], '{VARIABLE}') AND n >= {SUPPORT} AND (b * all_n - n * all_b) * (b * all_n - n * all_b) * all_n > CAST({Z2} AS DOUBLE) * (n * (all_n - n) * (all_b * (all_n - all_b))) THEN parts[level + 1] ELSE '*' END, level + 1
+  FROM (SELECT *, sum(labelled) OVER (PARTITION BY host, template, parts[level + 1]) AS n, sum(bad) OVER (PARTITION BY host, template, parts[level + 1]) AS b, sum(labelled) OVER (PARTITION BY host, template) AS all_n, sum(bad) OVER (PARTITION BY host, template) AS all_b FROM tree WHERE len(parts) > level)),
+ t AS (SELECT host, path, labelled, bad, template FROM tree WHERE len(parts) = level),
+ rate AS (SELECT coalesce((sum(labelled) - sum(bad)) / nullif(sum(labelled), 0), 1.0) AS r FROM t),
  x AS (SELECT host, template FROM t GROUP BY host, template HAVING (sum(labelled) - sum(bad) + {WEIGHT} * (SELECT r FROM rate)) / (sum(labelled) + {WEIGHT}) < {LIMIT})
  SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN x.template IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, template FROM u JOIN t USING (host, path) LEFT JOIN x USING (host, template)"""
 

@@ -1,9 +1,14 @@
 """Operator 10 [native]: a path-template tree over urls, in DataFrame operations only.
 
-Per host, a level at a time, a path segment stays literal if it is no number, frequent under its parent, and its
-labelled share of bad pages differs from its siblings' pooled share (a two-sided test of proportions); all others are
-merged into the wildcard `*`. A template is the path of such segments, `**` standing for all below the last level. Its
-purity is the labelled share of good pages smoothed towards the corpus; templates below the limit are blocked.
+Per host, a level at a time, a path segment stays literal if it is no number, date or long hexadecimal id, has enough
+labelled pages, and its labelled share of bad pages differs from its siblings' pooled share (a two-sided test of two
+proportions, the siblings being all labelled pages of its parent's further segments but its own); all others are merged
+into the wildcard `*`. A template is the path of such segments, one for each segment of the path. Its purity is the
+labelled share of good pages smoothed towards the corpus; templates below the limit are blocked.
+
+Levels go on until no path has a further segment. Only parents with good and bad labels enough to part a segment stay
+in the frontier: below all others no segment can stay literal, so their paths are completed with wildcards at once and a
+path of very many segments costs no rounds.
 
 Fixed rules come first: a rule fits its host and subdomains where the path starts with the rule's, the longest wins.
 Urls are folded to distinct (host, path) with counts before anything is joined, and every count is a map-side sum, so
@@ -16,14 +21,17 @@ nothing is blocked by a template. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage
 
 # Fixed values of the contract: rule, verdict.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH, SUPPORT, SHARE, Z2, WEIGHT, LIMIT = 4, 5, 0.02, 3.84, 8.0, 0.5
+SUPPORT, Z2, WEIGHT, LIMIT = 5, 3.84, 8.0, 0.5
+VARIABLE = r"^([0-9][0-9._-]*|[0-9a-fA-F]{8}[0-9a-fA-F-]{8,})$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,26 +53,36 @@ def rule_columns() -> tuple:
 
 
 def path_templates(urls: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, path, template, n, labelled, bad): one row per distinct url path; urls have page_id, host, path."""
+    """(host, path, n, labelled, bad, template): one row per distinct url path; urls have page_id, host, path."""
     stage = Stage(urls.sparkSession)
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     known = urls.join(marks, "page_id", "left")
     part = F.split(F.expr("substr(path, 2)"), "/")
-    tree = stage.write(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("parts", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(part)).withColumn("template", F.lit("")))
-    for level in range(DEPTH):
-        here = tree.withColumn("seg", F.get("parts", F.lit(level)))
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        branch = here.where("seg is not null").groupBy("host", "template", "seg").agg(*sums)
-        whole = branch.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
-        off = F.col("bad").cast("double") * F.col("all_labelled") - F.col("labelled").cast("double") * F.col("all_bad")
-        spread = F.col("labelled").cast("double") * F.col("all_bad") * (F.col("all_labelled") - F.col("all_bad"))
-        apart = (off * off > F.lit(Z2) * spread) & (F.col("labelled") >= SUPPORT)
-        often = (F.col("n") >= SUPPORT) & (F.col("n").cast("double") >= F.lit(SHARE) * F.col("all_n"))
-        literal = ~F.col("seg").rlike(r"^[0-9]") & often & apart
-        names = stage.write(branch.join(whole, ["host", "template"]).where(literal).select("host", "template", "seg", F.col("seg").alias("name")))
-        joined = here.join(names, ["host", "template", "seg"], "left")
-        tree = stage.write(joined.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", F.coalesce("name", F.lit("*"))))).drop("seg", "name"))
-    return tree.withColumn("template", F.when(F.size("parts") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("parts")
+    folded = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    tree = stage.write(folded.withColumn("parts", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(part)).withColumn("template", F.lit("")))
+    more = lambda k: F.array_join(F.transform(F.slice("parts", k + 1, F.greatest(F.size("parts") - k, F.lit(0))), lambda _: F.lit("/*")), "")
+    out, level = [], 0
+    while True:
+        seg = F.get("parts", F.lit(level))
+        branch = tree.select("host", "template", seg.alias("seg"), "labelled", "bad").where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        whole = branch.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        open_ = stage.write(whole.where((F.col("all_labelled") > SUPPORT) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled"))))
+        shut = tree.join(open_.select("host", "template"), ["host", "template"], "left_anti").unionByName(tree.where(seg.isNull()).join(open_.select("host", "template"), ["host", "template"], "left_semi"))
+        out.append(shut.withColumn("template", F.concat("template", more(level))).drop("parts"))
+        if open_.isEmpty():
+            break
+        here = tree.where(seg.isNotNull()).join(open_.select("host", "template"), ["host", "template"], "left_semi").withColumn("seg", seg)
+        names = stage.write(branch.join(open_, ["host", "template"]).where(~F.col("seg").rlike(VARIABLE) & (F.col("labelled") >= SUPPORT) & apart()).select("host", "template", "seg", F.col("seg").alias("name")))
+        tree = stage.write(here.join(names, ["host", "template", "seg"], "left").withColumn("template", F.concat_ws("/", "template", F.coalesce("name", F.lit("*")))).drop("seg", "name"))
+        level += 1
+    return reduce(DataFrame.unionByName, out)
+
+
+def apart() -> Column:
+    """z squared of the branch's share of bad pages against its siblings' is over Z2; the branch is no sibling of itself."""
+    n, b, all_n, all_b = (F.col(c).cast("double") for c in ("labelled", "bad", "all_labelled", "all_bad"))
+    off = b * all_n - n * all_b
+    return off * off * all_n > F.lit(Z2) * (n * (all_n - n) * (all_b * (all_n - all_b)))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -261,6 +261,41 @@ def test_urls(spark):
     assert url_templates.judge_urls(pages, marks.limit(0)).where("verdict = 'block' and rule is null").count() == 0
 
 
+def test_small_deep_and_numbered_branches_part_from_their_siblings(spark):
+    """A section of 1.5 % of a host, one that parts at the sixth segment, and one called like a number with a word."""
+    rows, labels = [], []
+
+    def add(path, n, bad):
+        for _ in range(n):
+            rows.append((len(rows), f"http://big.net/{path}/{len(rows)}.html"))
+            labels.append((len(rows) - 1, int(not bad), 0))
+
+    for k in range(60):
+        add(f"s{k}", 40, k == 7)
+    add("blog/2024/05/12/post", 200, False)
+    add("blog/2024/05/12/spam", 60, True)
+    add("18plus", 50, True)
+    add("/".join(["deep"] * 300), 3, False)
+    pages, marks = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_templates.judge_urls(pages, marks).collect()}
+    assert all((got[i].verdict == "allow") == bool(q) for i, q, _ in labels)
+    assert got[7 * 40].template == "/s7/*" and any(r.template == "/blog/*/*/*/spam/*" for r in got.values())
+    assert got[len(rows) - 1].template.startswith("/*/*/*/*") and got[len(rows) - 1].template.count("/") == 301
+
+
+def test_urls_equal_sql(spark, sf, tmp_path):
+    import duckdb
+
+    from quarry.llm import oracles
+
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
+    got = queries.op10_url_templates(spark, "/root/testdata/sf0.01")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.urls()})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_urls_stay_native(spark, sf):
     plan = queries.op10_url_templates(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
