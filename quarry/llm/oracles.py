@@ -13,6 +13,18 @@ EMBEDDINGS = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOU
  low AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
  SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id"""
 
+_JSON = r"""(CASE WHEN role IS NULL THEN '""' ELSE CAST(to_json(role) AS VARCHAR) END)"""
+
+
+def _escaped(x: str) -> str:
+    """Length of x with a backslash for each control string and each backslash."""
+    return rf"(2 * length({x}) - length(replace({x}, '\', '')) + (length({x}) - length(replace({x}, '<|', ''))) // 2 + len(regexp_extract_all({x}, '</?s>')) + len(regexp_extract_all({x}, '\[/?INST\]')) + len(regexp_extract_all({x}, '<</?SYS>>')))"
+
+
+CHATS = rf"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss, sum({len("<|turn|><|end|>") + 1} + {_escaped(_JSON)} + {_escaped("text")}) AS formatted_chars FROM c GROUP BY conv_id)
+ SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
+
 QUALITY = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
  t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w))),
  r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM t WHERE c > 1) GROUP BY doc_id),
@@ -50,4 +62,4 @@ def urls() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_epsilon_grid": EMBEDDINGS, "op7_quality_cascade": QUALITY, "op9_phrase_automata": PHRASES, "op10_url_templates": urls()}
+    return {"op4_reply_trees": CHATS, "op6_epsilon_grid": EMBEDDINGS, "op7_quality_cascade": QUALITY, "op9_phrase_automata": PHRASES, "op10_url_templates": urls()}
