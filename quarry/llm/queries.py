@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +72,6 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     out = {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
-    if os.path.exists(os.path.join(os.path.dirname(__file__), "..", "..", "corpus_pipeline.py")):
-        import corpus_pipeline
-
-        out["pipeline"] = corpus_pipeline.run
     return dict(sorted(out.items()))
 
 
