@@ -88,7 +88,7 @@ def parse_query(text: str, mode: str = "hybrid", today: str | None = None, llm=N
             scope.append(low[k + 1])
     least = 0.0
     for k in range(len(low) - 2):
-        if low[k : k + 2] == ["min", "confidence"] and (m := re.match(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", low[k + 2])):
+        if low[k : k + 2] == ["min", "confidence"] and all(free[k : k + 3]) and (m := re.match(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", low[k + 2])):
             take(k, k + 1, k + 2)
             least = float(m[0])
     rest = [w for w, f in zip(words, free, strict=True) if f]

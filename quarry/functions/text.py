@@ -176,11 +176,12 @@ def progress_percent(complete: Column, phase: Column, total: Column, done: Colum
 
 def csv_pairs(c: Column | str) -> Column:
     """SC8: each row as `header: value` pairs of non-blank values, rows by line; no quoting, by design."""
-    lines = F.split(F.regexp_replace(_col(c), r"\r\n", "\n"), "\n")
-    heads = F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda h: F.trim(h))
+    lines = F.split(F.regexp_replace(_col(c), r"\r(\n|$)", "$1"), "\n")
+    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    heads = F.transform(F.split(F.get(lines, F.lit(0)), ","), trim)
 
     def row(line: Column) -> Column:
-        cells = F.transform(F.split(line, ","), lambda v, i: F.struct(F.get(heads, i).alias("h"), F.trim(v).alias("v")))
+        cells = F.transform(F.split(line, ","), lambda v, i: F.struct(F.get(heads, i).alias("h"), trim(v).alias("v")))
         return F.array_join(F.transform(F.filter(cells, lambda x: (x["v"] != "") & x["h"].isNotNull()), lambda x: F.concat(x["h"], F.lit(": "), x["v"])), ", ")
 
     body = F.when(F.size(lines) > 1, F.slice(lines, 2, F.greatest(F.lit(1), F.size(lines) - 1))).otherwise(F.array().cast("array<string>"))
@@ -188,8 +189,13 @@ def csv_pairs(c: Column | str) -> Column:
 
 
 def remove_first_token(c: Column | str, token: str) -> Column:
-    """ST12: without the first whole word `token` in either case, blanks folded."""
+    """ST12: without the first `token` in either case that no letter, digit or underscore adjoins; runs of blanks folded."""
     import re
 
-    out = F.regexp_replace(_col(c), rf"(?is)^(.*?)(?<!\S){re.escape(token)}(?!\S)", "$1") if token else _col(c)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(_col(c), rf"(?is)^(.*?)(?<![a-z0-9_]){re.escape(token)}(?![a-z0-9_])", "$1") if token else _col(c)
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)\s{2,}", " "), r"(?U)^\s+|\s+$", "")
+
+
+def format_delta(now: Column | str, base: Column | str) -> Column:
+    """MA9: the difference with its sign and three decimals."""
+    return F.format_string("%+.3f", _col(now) - _col(base))

@@ -1,3 +1,6 @@
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,8 +97,62 @@ def test_names(spark):
     assert one(spark, text.csv_pairs("v"), "only,heads") == "" == source.csv_text("only,heads") == source.csv_text("")
 
 
-def test_markdown():
-    assert source.strip_markdown("# Head\n> **bold** `code` [link](http://x) ![alt](y.png)\na_b *odd") == "Head\nbold code link alt\na_b odd"
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("# Head\n> **bold** `code` [link](http://x) ![alt](y.png)\na_b *odd", "Head\nbold code link alt\na_b odd"),
+        ("#hash", "hash"), ("### Deep heading ###", "Deep heading ###"), ("** wide ** and * inner * and ` code `", "wide and inner and code"),
+        ("**open", "open"), ("a ` b", "a  b"), ("> > quote", "> quote"), ("![broken] (x)", "![broken] (x)"), ("x\x0cy\r\nz\u2028w", "x\x0cy\nz\u2028w"), ("", ""),
+    ],
+)
+def test_markdown(body, want):
+    assert source.strip_markdown(body) == want
+
+
+def test_csv_lines_are_cut_by_line_feeds_only():
+    assert source.csv_text("a,b\r\n1\x0b2,3\r\n") == "a: 1\x0b2, b: 3"
+
+
+def sheet_file(sheets, styles="", shared=""):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, (n, _) in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/{n}.xml"/>' for k, (n, _) in enumerate(sheets)) + "</Relationships>")
+        for n, rows in sheets:
+            z.writestr(f"xl/worksheets/{n}.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+        z.writestr("xl/styles.xml", f"<styleSheet {main}>{styles}</styleSheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>{shared}</sst>")
+    return raw.getvalue()
+
+
+def test_spreadsheets():
+    styles = '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs>'
+    rows = '<row r="2"><c t="s"><v>0</v></c><c><v>3</v></c><c><v>0.1</v></c><c><v>1E21</v></c><c t="b"><v>1</v></c></row><row r="4"><c s="1"><v>45000</v></c><c s="2"><v>45000.5</v></c><c s="3"><v>7.5</v></c><c t="e"><v>#N/A</v></c><c t="d"><v>2024-01-01</v></c><c t="inlineStr"><is><t>in</t></is></c><c t="str"><v>calc</v></c><c/></row>'
+    raw = sheet_file([("zeta", rows), ("alpha", '<row r="1"><c><v>5.0</v></c></row>')], styles, "<si><t>shared</t></si>")
+    assert source.xlsx_text(raw) == "shared 3 0.1 1000000000000000000000 true \n\n7.5 in calc \n5"
+
+
+def test_pdf_passes():
+    pages = [("", "low", 0.5), ("", "ok", 0.8), (" ", "good", 0.9), ("", " ", 0.99)]
+    asked = []
+
+    def vision(which):
+        asked.append(which)
+        return [f"seen {k}" if k else " " for k in which]
+
+    got = source.pdf_text(pages, vision)
+    assert got.text == "ok\n\ngood\n\nseen 3" and asked == [[0, 3]] and abs(got.confidence - 0.85) < 1e-9
+    got = source.pdf_text([("", "low", 0.5), ("", "", 0.0)], vision)
+    assert (got.text, got.confidence) == ("seen 1", 0.75) and asked[-1] == [0, 1]
+    assert source.pdf_text([("layer", "x", 0.9), (" two ", "y", 0.9)], vision).text == "layer\n two"
+    assert source.pdf_text([("", "low", 0.5)]).text == ""
+
+
+def test_ocr_files(spark):
+    df = spark.createDataFrame([(1, 2, "b", 0.9), (1, 1, "a", 0.8), (1, 3, "c", 0.7), (1, 4, " ", 0.99), (2, 1, "z", 0.1)], "file_id long, page int, text string, confidence double")
+    assert [(r.file_id, r.text, round(r.confidence, 6), r.pages) for r in source.ocr_files(df).collect()] == [(1, "a\n\nb", 0.85, 2)]
 
 
 def test_metrics(spark):
@@ -108,7 +165,41 @@ def test_metrics(spark):
     assert df.select(metrics.recall_at_k(F.col("relevant"), F.col("retrieved"), 0).alias("r")).first().r == 0.0
 
 
-def test_pdf_pages_and_language():
-    assert source.pdf_text([("", "low", 0.5), ("", "ok", 0.8), (" ", "good", 0.9)]).text == "ok\ngood"
-    assert source.pdf_text([("layer", "x", 0.9), ("", "y", 0.9)]).text == "layer"
+def test_language():
     assert source.detect_language("the cat and the dog of the house") == "eng" and source.detect_language("zzz") == "unknown"
+    assert source.detect_language("zz " * 3000 + "der hund und die katze") == "deu"
+
+
+def test_remove_first_token(spark):
+    cases = {"invoices pdf 2024": "invoices 2024", "pdf invoices": "invoices", "invoices pdf": "invoices", "pdf invoices pdf": "invoices pdf", "pdfviewer invoices": "pdfviewer invoices", "invoices PDF 2024": "invoices 2024", "invoices  pdf  2024": "invoices 2024", "pdf": "", "invoices docx 2024": "invoices docx 2024", "a (pdf) b": "a () b", "pdf, x": ", x", "x_pdf pdf": "x_pdf", "p.f (p.f": "p.f (p.f"}
+    for value, want in cases.items():
+        assert one(spark, text.remove_first_token("v", "pdf"), value) == want, value
+    assert one(spark, text.remove_first_token("v", "p.f"), "pdf p.f") == "pdf"
+
+
+def test_delta(spark):
+    df = spark.createDataFrame([(0.5, 0.25), (0.25, 0.5), (0.5, 0.5)], "a double, b double")
+    assert [r[0] for r in df.select(text.format_delta("a", "b")).collect()] == ["+0.250", "-0.250", "+0.000"]
+
+
+@pytest.mark.parametrize(
+    "query, want",
+    [
+        ("receipts in pdf from 2024 in Dropbox", {"media_types": ("pdf",), "root_scope": ("dropbox",), "date_from": "2024-01-01", "date_to": "2024-12-31"}),
+        ("anime girl min confidence 0.8", {"min_confidence": 0.8}), ("", {"query_text": "", "media_types": (), "root_scope": (), "date_from": None}),
+        ("show me pdf and docx files", {"media_types": ("pdf", "docx")}), ("search in pdf", {"root_scope": (), "media_types": ("pdf",)}), ("documents 2023", {"date_from": "2023-01-01", "date_to": "2023-12-31"}),
+        ("pdf 2024", {"query_text": "pdf 2024"}), ("birthday party photos", {"query_text": "birthday party photos", "media_types": ()}), ("jpeg files", {"media_types": ("jpeg",)}),
+        ("min confidence 2024", {"min_confidence": 0.0, "date_from": "2024-01-01", "query_text": "min confidence"}), ("notes in min confidence 0.5", {"root_scope": ("min",), "min_confidence": 0.0, "query_text": "notes confidence 0.5"}),
+        ("a min confidence 0.5 min confidence 0.7", {"min_confidence": 0.7, "query_text": "a"}), ("from 2021 from 2022", {"date_from": "2021-01-01", "query_text": "from 2022"}), ("today 2020", {"date_from": "2020-01-01", "query_text": "today"}),
+    ],
+)
+def test_parser_passes(query, want):
+    got = scalars.parse_query(query, today="2026-01-05")
+    assert {k: getattr(got, k) for k in want} == want
+
+
+@pytest.mark.parametrize("query, mode, calls", [("pdf 2024", "hybrid", 0), ("receipts in pdf from 2024 in Dropbox", "hybrid", 0), ("find the document about the project planning meeting notes", "hybrid", 1), ("find the document about the project planning meeting notes", "keyword", 0), ("elephant giraffe banana from 2024 pdf", "hybrid", 0)])
+def test_model_is_asked_for_long_queries_only(query, mode, calls):
+    asked = []
+    scalars.parse_query(query, mode=mode, llm=lambda q: asked.append(q) or '{"queryText": "x"}')
+    assert len(asked) == calls
