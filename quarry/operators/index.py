@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKERS = (".git", "package.json", "Cargo.toml", "go.mod", "pyproject.toml", "setup.py", "pom.xml", "build.gradle", "CMakeLists.txt", "Makefile", "composer.json", "Gemfile")
+from quarry.operators.staged import staged
+
+#: Entries that mark a project's folder.
+MARKERS = (".git", "package.json", "Cargo.toml", "go.mod", "pyproject.toml", "setup.py", "composer.json", "pom.xml", "build.gradle", "build.gradle.kts", "Makefile", "CMakeLists.txt")
 FILE_FIELDS = "id long, root_id long, rel_path string, filename string, media_type string, size_bytes long, mtime_ns long, fingerprint string, model_version string, confidence float, extracted_text string, lang_hint string, index_marker long, indexed_at long, deleted_at long"
 
 
@@ -36,6 +39,17 @@ def reconcile(files: DataFrame, snapshot: DataFrame) -> DataFrame:
     return stay.unionByName(pairs.select(*cols, what.alias("action"), "size_bytes", "mtime_ns", "fingerprint"))
 
 
+def collapse_duplicates(snapshot: DataFrame) -> DataFrame:
+    """Compatibility: of the files of one root with equal content only the last path is kept."""
+    cols = [F.col(c) for c in snapshot.columns]
+    return snapshot.groupBy("root_id", "fingerprint").agg(F.max_by(F.struct(*cols), "rel_path").alias("one")).select("one.*")
+
+
+def without_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks whose embedding failed: what a repair has to embed again."""
+    return chunks.join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_anti")
+
+
 def job_counts(actions: DataFrame) -> DataFrame:
     """AG5: seven counters; a file is done when it needs nothing more."""
     n = lambda *names: F.count_if(F.col("action").isin(*names))
@@ -43,10 +57,13 @@ def job_counts(actions: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, first: int, *order: str) -> DataFrame:
-    """Adds id = first, first + 1, ... by `order`: ranks within range partitions plus the rows of partitions before."""
-    placed = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    """Adds id = first, first + 1, ... by `order`: ranks within range partitions plus the rows of partitions before.
+
+    The placed rows are written once, so that both readers below see the same partitions.
+    """
+    placed = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)}))
     sizes = placed.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_before")
-    return placed.join(sizes, "_p").withColumn("id", (F.col("_before") + F.col("_k") + (first - 1)).cast("long")).drop("_p", "_k", "_before")
+    return placed.join(sizes, "_p").withColumn("id", (F.col("_before") + F.col("_k") + first).cast("long")).drop("_p", "_k", "_before")
 
 
 def upsert_files(files: DataFrame, rows: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars, text
+from quarry.operators.postings import COLUMNS as FTS_COLUMNS
+from quarry.operators.postings import phrase_hits
 
 TOP, K1, B, RRF = 50, 1.2, 0.75, 60  # fixed values
-FTS_COLUMNS = ("filename", "rel_path", "extracted_text")
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class Tables:
     files: DataFrame
     chunks: DataFrame
     vectors: DataFrame
+    postings: DataFrame | None = None
+    sizes: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -59,10 +62,20 @@ def bm25(tf: Column, size: Column, n_docs: Column, n_hits: Column, total: Column
     return -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (total / n_docs)))
 
 
-def fts_ranks(files: DataFrame, query: str, top: int = TOP) -> DataFrame:
+def text_hits(t: Tables, phrase: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(hits, stats): (file_id, tf, size) of files with the phrase, and one row of corpus sums; from postings where there are some."""
+    if t.postings is None:
+        features = phrase_features(t.files, phrase)
+        return features.where("tf > 0"), corpus_stats(features)
+    hits = phrase_hits(t.postings, phrase)
+    sums = t.sizes.agg(F.count("*").alias("n_docs"), F.sum("size").alias("total_size"))
+    return hits, sums.join(F.broadcast(hits.agg(F.count("*").alias("n_hits"))))  # one row beside one row
+
+
+def fts_ranks(t: Tables, query: str, top: int = TOP) -> DataFrame:
     """(file_id, bm25, fts_rank): the best `top` files for the query as one phrase."""
-    features = phrase_features(files, text.query_tokens(query))
-    scored = features.where("tf > 0").join(F.broadcast(corpus_stats(features)))  # one row of sums
+    hits, stats = text_hits(t, text.query_tokens(query))
+    scored = hits.join(F.broadcast(stats))  # one row of sums
     best = scored.select("file_id", bm25(F.col("tf"), F.col("size"), F.col("n_docs"), F.col("n_hits"), F.col("total_size")).alias("bm25")).orderBy("bm25", "file_id").limit(top)
     return best.withColumn("fts_rank", F.row_number().over(Window.orderBy("bm25", "file_id")))
 
@@ -131,7 +144,7 @@ def candidates(t: Tables, q: SearchQuery, vector: list[float] | None, prefilter:
             live = live.where(f)
         t = Tables(t.roots, live.drop("root_path", "active"), t.chunks.join(live.select(F.col("id").alias("file_id")), "file_id", "left_semi"), t.vectors)
         t = Tables(t.roots, t.files, t.chunks, t.vectors.join(t.chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"))
-    fts = None if q.mode == "semantic" else fts_ranks(t.files, q.query_text)
+    fts = None if q.mode == "semantic" else fts_ranks(t, q.query_text)
     if q.mode != "keyword" and vector is None:
         raise ValueError("this mode needs the query's vector")
     vec = None if q.mode == "keyword" else vector_ranks(t, vector)

@@ -11,7 +11,9 @@ from quarry.functions import metrics, text
 from quarry.operators import index
 from quarry.operators import search as find
 from quarry.operators.search import SearchQuery
+from quarry.operators.staged import spread, staged
 from quarry.plans import model
+from quarry.sources.files import ocr_files
 
 WORD, VEC = "with", 7
 _queries: dict[str, Callable] = {}
@@ -63,7 +65,7 @@ def hybrid(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 @register("tokenize", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def tokenize(spark, d):
     t = text.tokens("text")
-    return model.read(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    return spread(model.read(spark, d, "documents")).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 @register("phrase_tf", f"WITH {FILES}, {FEATURES} SELECT file_id, CAST(tf AS BIGINT) AS tf, CAST(size AS BIGINT) AS size FROM feats")
@@ -78,7 +80,7 @@ def bm25_stats(spark, d):
 
 @register("bm25_topk", f"WITH {FILES}, {FEATURES}, {STATS}, {FTS} SELECT file_id, round(bm25, 6) AS bm25, fts_rank FROM fts")
 def bm25_topk(spark, d):
-    return find.fts_ranks(model.files(spark, d), WORD).select("file_id", F.round("bm25", 6).alias("bm25"), F.col("fts_rank").cast("long").alias("fts_rank"))
+    return find.fts_ranks(model.tables(spark, d), WORD).select("file_id", F.round("bm25", 6).alias("bm25"), F.col("fts_rank").cast("long").alias("fts_rank"))
 
 
 @register("knn_topk", f"WITH {NEAR} SELECT chunk_id, round(distance, 6) AS distance FROM near")
@@ -95,7 +97,7 @@ def knn_collapse(spark, d):
 @register("rrf_fusion", f"WITH {HYBRID} SELECT file_id, round(score, 9) AS score, fts_rank, vec_rank FROM fused")
 def rrf_fusion(spark, d):
     t = model.tables(spark, d)
-    f = find.fuse(find.fts_ranks(t.files, WORD), find.vector_ranks(t, model.query_vector(spark, d, VEC)))
+    f = find.fuse(find.fts_ranks(t, WORD), find.vector_ranks(t, model.query_vector(spark, d, VEC)))
     return f.select("file_id", F.round("score", 9).alias("score"), *(F.col(c).cast("long").alias(c) for c in ("fts_rank", "vec_rank")))
 
 
@@ -143,10 +145,11 @@ def page_offset(spark, d):
 
 @register("cursor_next", f"WITH {HYBRID} SELECT {HIT} FROM found ORDER BY found.score DESC, path LIMIT 10 OFFSET 10")
 def cursor_next(spark, d):
-    found = hybrid(spark, d)
-    last = find.page(found, SearchQuery(limit=10)).select("score", "path").tail(1)[0]
+    """The page behind the cursor that the first page's last row gives; both are read from one run's candidates."""
     from quarry.functions.scalars import encode_cursor
 
+    found = staged(hybrid(spark, d).select("id", "path", "score"))
+    last = find.page(found, SearchQuery(limit=10)).collect()[-1]
     return hits(find.page(found, SearchQuery(limit=10, cursor=encode_cursor(last.score, last.path))))
 
 
@@ -219,7 +222,7 @@ def format_bytes(spark, d):
     return model.read(spark, d, "documents").select("doc_id", text.format_bytes(F.col("n_chars") * 7).alias("size"))
 
 
-@register("basename_dirname", f"WITH {FILES} SELECT id, filename AS base, lang_hint AS dir, upper(media_type) AS label FROM files WHERE media_type NOT IN ('docx', 'xlsx', 'txt', 'md', 'png', 'jpg')")
+@register("basename_dirname", f"WITH {FILES} SELECT id, filename AS base, lang_hint AS dir, CASE media_type WHEN 'pdf' THEN 'PDF' WHEN 'docx' THEN 'Word' WHEN 'xlsx' THEN 'Excel' WHEN 'csv' THEN 'CSV' WHEN 'txt' THEN 'Text' WHEN 'md' THEN 'Markdown' WHEN 'png' THEN 'PNG' WHEN 'jpg' THEN 'JPEG' END AS label FROM files")
 def basename_dirname(spark, d):
     return model.files(spark, d).select("id", text.basename("rel_path").alias("base"), text.dirname("rel_path").alias("dir"), text.media_label("media_type").alias("label"))
 
@@ -231,9 +234,11 @@ def csv_to_kv(spark, d):
     return e.select("user_id", text.csv_pairs(F.concat(F.lit("id,type,none\n"), lines)).alias("kv"))
 
 
-@register("relative_time", "SELECT doc_id, CASE WHEN a < 60 THEN 'just now' WHEN a < 3600 THEN (a // 60) || 'm ago' WHEN a < 86400 THEN (a // 3600) || 'h ago' ELSE (a // 86400) || 'd ago' END AS age FROM (SELECT doc_id, doc_id * 37 AS a FROM documents WHERE doc_id < 10000)")
+@register("relative_time", "SELECT doc_id, CASE WHEN a < 60 THEN 'just now' WHEN a < 3600 THEN (a // 60) || 'm ago' WHEN a < 86400 THEN (a // 3600) || 'h ago' WHEN a < 2592000 THEN (a // 86400) || 'd ago' ELSE strftime(make_timestamp((1800000000 - a) * 1000000), '%b %-d, %Y') END AS age FROM (SELECT doc_id, (doc_id * doc_id * 7) % 100000000 AS a FROM documents)")
 def relative_time(spark, d):
-    return model.read(spark, d, "documents").select("doc_id", text.relative_time(1_800_000_000 - F.col("doc_id") * 37, 1_800_000_000).alias("age"))
+    """Ages grow with the square of the id, so that every branch is taken at every size."""
+    age = F.col("doc_id") * F.col("doc_id") * 7 % 100_000_000
+    return model.read(spark, d, "documents").select("doc_id", text.relative_time(1_800_000_000 - age, 1_800_000_000).alias("age"))
 
 
 @register("first_sentences")
@@ -326,10 +331,13 @@ def pending_files(spark, d):
     return index.pending(model.files(spark, d)).select("id", "rel_path", "media_type")
 
 
-@register("repo_confidence", f"WITH {FILES} SELECT id, CAST(CASE WHEN lang_hint = 'en' THEN confidence * 0.5 ELSE confidence END AS DOUBLE) AS confidence FROM files")
+@register("repo_confidence", f"WITH {FILES} SELECT id, CAST(CASE WHEN lang_hint = 'en' OR root_id % 5 = 0 THEN confidence * 0.5 ELSE confidence END AS DOUBLE) AS confidence FROM files")
 def repo_confidence(spark, d):
+    """Each root has one of the markers in its folder `en`, every fifth one at its top, and a name that is no marker in `fr`."""
     f = model.files(spark, d)
-    marks = f.select("root_id").distinct().select("root_id", F.lit("en/package.json").alias("rel_path"))
+    mark = F.element_at(F.array(*map(F.lit, index.MARKERS)), (F.col("root_id") % len(index.MARKERS) + 1).cast("int"))
+    roots = f.select("root_id").distinct()
+    marks = roots.select("root_id", F.concat(F.lit("en/"), mark).alias("rel_path")).unionByName(roots.where("root_id % 5 = 0").select("root_id", mark.alias("rel_path"))).unionByName(roots.select("root_id", F.lit("fr/Gemfile").alias("rel_path")))
     return index.repo_confidence(f.select("id", "root_id", "rel_path", "confidence"), marks).select("id", F.col("confidence").cast("double").alias("confidence"))
 
 
@@ -339,9 +347,12 @@ def duplicate_groups(spark, d):
     return f.where("n > 1")
 
 
-@register("ocr_confidence", "SELECT user_id AS file_id, round(avg(value) FILTER (value >= 0.75), 6) AS confidence, count(*) FILTER (value >= 0.75) AS pages FROM events GROUP BY 1 HAVING count(*) FILTER (value >= 0.75) > 0")
+@register("ocr_confidence", "SELECT user_id AS file_id, round(avg(value), 6) AS confidence, count(*) AS pages, md5(string_agg(event_type, chr(10) || chr(10) ORDER BY event_id)) AS text_md5 FROM events WHERE value >= 0.75 AND event_id % 9 <> 0 GROUP BY 1")
 def ocr_confidence(spark, d):
-    return model.read(spark, d, "events").where("value >= 0.75").groupBy(F.col("user_id").alias("file_id")).agg(F.round(F.avg("value"), 6).alias("confidence"), F.count("*").alias("pages"))
+    """Events as OCR pages, some of them blank."""
+    page = F.when(F.col("event_id") % 9 == 0, "  ").otherwise(F.col("event_type"))
+    e = model.read(spark, d, "events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("page"), page.alias("text"), F.col("value").alias("confidence"))
+    return ocr_files(e).select("file_id", F.round("confidence", 6).alias("confidence"), "pages", F.md5("text").alias("text_md5"))
 
 
 @register("progress_percent", "SELECT event_id, CAST(CASE WHEN event_id % 9 = 0 THEN 100 ELSE floor((event_id % 7) * 100.0 / 8 + 0.5) END AS BIGINT) AS percent FROM events")

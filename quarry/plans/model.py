@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import postings
 from quarry.operators.search import Tables
+from quarry.operators.staged import spread
 
 TYPES = ("pdf", "docx", "xlsx", "csv", "txt", "md", "png", "jpg")
 
@@ -24,7 +26,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (d % 8 + 1).cast("int"))
     name = F.concat(d.cast("string"), F.lit("."), kind)
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         d.alias("id"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("root_id"), F.concat("lang", F.lit("/"), name).alias("rel_path"), name.alias("filename"), kind.alias("media_type"), F.col("n_chars").alias("size_bytes"),
         ((d * 3600 + 1_704_067_200) * 1_000_000_000).alias("mtime_ns"), F.sha2("text", 256).alias("fingerprint"), F.when(d % 29 == 0, "").otherwise("ext-v1").alias("model_version"),
         F.element_at(F.array(F.lit(0.5), F.lit(0.75), F.lit(1.0)), (d % 3 + 1).cast("int")).cast("float").alias("confidence"), F.col("text").alias("extracted_text"), F.col("lang").alias("lang_hint"), (d % 5).alias("index_marker"), (d + 1_704_067_200).alias("indexed_at"),
@@ -42,12 +44,31 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(text.chunks("text")).alias("chunk_index", "c"))
+    c = spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), F.posexplode(text.chunks("text")).alias("chunk_index", "c"))
     return c.select("file_id", "chunk_index", "c.start_token", "c.end_token", "c.text")
 
 
+_stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, sizes) of the files, stored on first use in a session and read by every later query of the same table."""
+    source = read(spark, sf_dir, "documents")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stamps = []
+    for name in sorted(source.inputFiles()):
+        at = fs.Path(name)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        stamps.append((name, status.getLen(), status.getModificationTime()))
+    key = spark.sparkContext.applicationId, tuple(stamps)
+    if key not in _stored:
+        _stored[key] = postings.store(files(spark, sf_dir))
+    return _stored[key]
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(roots(spark, sf_dir), files(spark, sf_dir), vector_chunks(spark, sf_dir), vectors(spark, sf_dir))
+    return Tables(roots(spark, sf_dir), files(spark, sf_dir), vector_chunks(spark, sf_dir), vectors(spark, sf_dir), *text_index(spark, sf_dir))
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:

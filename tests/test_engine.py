@@ -119,12 +119,12 @@ def test_catalog_matches_sql(spark):
         assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(repr, want)), name
 
 
-def test_relative_time_reads_all_rows(spark, tmp_path):
+def test_relative_time_takes_every_branch(spark, tmp_path):
     from quarry.plans import catalog
 
-    spark.createDataFrame([(1,), (2,), (9_999,), (10_000,), (16_345,), (16_346,), (70_054,), (70_055,), (256_409,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,), (3,), (22,), (23,), (111,), (112,), (608,), (609,), (3779,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.age for r in catalog.queries()["relative_time"](spark, str(tmp_path)).collect()}
-    assert got == {1: "just now", 2: "1m ago", 9_999: "4d ago", 10_000: "4d ago", 16_345: "6d ago", 16_346: "7d ago", 70_054: "29d ago", 70_055: "Dec 16, 2026", 256_409: "Sep 27, 2026"}
+    assert got == {1: "just now", 3: "1m ago", 22: "56m ago", 23: "1h ago", 111: "23h ago", 112: "1d ago", 608: "29d ago", 609: "Dec 16, 2026", 3779: "Nov 15, 2023"}
 
 
 def test_basename_dirname_labels_all_types(spark, sf):
@@ -147,3 +147,116 @@ def test_markers_cover_hidden_directories(spark):
     entries = spark.createDataFrame([(1, "p/.git"), (1, "q/readme.md")], "root_id long, rel_path string")
     got = {r.rel_path: r.confidence for r in index.repo_confidence(files, entries).select("rel_path", F.col("confidence")).collect()}
     assert got == {"p/x/a.txt": 0.5, "q/b.txt": 1.0}
+
+
+def test_scan_prunes_junk_and_nothing_else(spark, tmp_path):
+    from quarry.sources import files as source
+
+    root = str(tmp_path / "r")
+    kept = ["bin/a.txt", "obj/a.txt", "tmp/a.txt", "temp/a.txt", "cache/a.txt", "logs/a.txt", "Pods/a.txt", "DerivedData/a.txt", "bower_components/a.txt", "jspm_packages/a.txt", "egg-info/a.txt", "_under/a.txt", "deep/er/and/er/a.txt", "top.md", "x.JPEG", "build.txt"]
+    gone = ["node_modules/a.txt", "dist/a.txt", "build/a.txt", "out/a.txt", "target/a.txt", "coverage/a.txt", "vendor/a.txt", "__pycache__/a.txt", "venv/a.txt", "env/a.txt", "site-packages/a.txt", "sub/node_modules/a.txt", ".hidden/a.txt", ".git/a.txt", "sub/.dot.txt", "a.exe"]
+    for p in kept + gone:
+        put(root, p, "x")
+    put(root, "deep/go.mod", "")
+    put(root, "bin/.git/x", "")
+    assert sorted(r.rel_path for r in source.scan_directory(spark, root, 1).collect()) == sorted(kept)
+    assert sorted(r.rel_path for r in source.directory_markers(spark, root, 1).collect()) == [".git", "bin/.git", "deep/go.mod"]
+
+
+def test_postings_answer_phrases_as_scans_do(spark, tmp_path):
+    from quarry.operators import postings
+    from quarry.operators import search as find
+
+    rows = [(1, "a.txt", "en/a.txt", "to be or not to be"), (2, "to.txt", "en/be.txt", "Not TO, be"), (3, "b.md", "x/b.md", None), (4, "na na na.txt", "na/na", "na na na na"), (5, "c.txt", "c.txt", "")]
+    files = spark.createDataFrame(rows, "id long, filename string, rel_path string, extracted_text string")
+    p, s = postings.store(files)
+    for phrase in (["to"], ["to", "be"], ["na", "na"], ["na", "na", "na"], ["be", "or", "not"], ["txt", "en"], ["missing"], []):
+        want = {(r.file_id, r.tf, r.size) for r in find.phrase_features(files, phrase).where("tf > 0").collect()}
+        assert {tuple(r) for r in postings.phrase_hits(p, phrase).select("file_id", "tf", "size").collect()} == want, phrase
+    assert {tuple(r) for r in s.collect()} == {(r.file_id, r.size) for r in find.phrase_features(files, ["x"]).collect()}
+    new = spark.createDataFrame([(2, "to.txt", "en/be.txt", "changed"), (6, "n.txt", "n.txt", "to be")], files.schema)
+    now = files.where("id not in (2, 4)").unionByName(new)
+    p2, s2 = postings.upkeep(p, s, now, spark.createDataFrame([(2,), (4,), (6,)], "id long"))
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(p2) == key(postings.make_postings(now)) and key(s2) == key(postings.make_sizes(now))
+
+
+def test_engine_keeps_postings_and_repairs_vectors(spark, tmp_path):
+    from quarry.sources import files as source
+
+    class Flaky(source.HashingEmbedder):
+        def __call__(self, texts):
+            if os.path.exists(str(tmp_path / "down")):
+                raise OSError("down")
+            return super().__call__(texts)
+
+    root = str(tmp_path / "docs")
+    put(root, "a.txt", "one two three")
+    put(root, "b.txt", "two three four")
+    put(root, "c.txt", "two three four")
+    put(str(tmp_path), "down", "")
+    engine = Engine(spark, str(tmp_path / "state"), embedder=Flaky(16))
+    i = engine.add_root(root)
+    engine.index_root(i)
+    assert engine.unembedded == 3 and engine.table("chunks_vec").count() == 0
+    os.remove(str(tmp_path / "down"))
+    assert engine.repair_embeddings() == 3 and engine.repair_embeddings() == 0 and engine.table("chunks_vec").count() == 3
+
+    def consistent():
+        from quarry.operators import postings
+
+        key = lambda df: sorted(map(repr, df.collect()))
+        return key(engine.table("postings")) == key(postings.make_postings(engine.table("files"))) and key(engine.table("sizes")) == key(postings.make_sizes(engine.table("files")))
+
+    assert consistent()
+    put(root, "a.txt", "one changed")
+    os.rename(os.path.join(root, "b.txt"), os.path.join(root, "moved.txt"))
+    os.remove(os.path.join(root, "c.txt"))
+    put(root, "d.txt", "new")
+    engine.index_root(i)
+    assert consistent()
+    assert engine.search(SearchQuery("moved", mode="keyword"))["total"] == 1 and engine.search(SearchQuery("three", mode="keyword"))["total"] == 1
+    assert set(engine.suggestions()) <= {"a.txt", "moved.txt", "d.txt"}
+    assert engine.runtime_status() == {"reachable": False, "modelsLoaded": []}
+    folders = [len(os.listdir(str(tmp_path / "state" / name))) for name in ("files", "postings", "chunks")]
+    assert max(folders) <= 3
+    engine.remove_root(i)
+    assert engine.table("postings").count() == 0 and engine.table("sizes").count() == 0 and engine.table("activity_log").count() == 0
+
+
+def test_duplicates_collapse_on_request(spark, tmp_path):
+    root = str(tmp_path / "docs")
+    for name in ("a.txt", "b.txt", "z/c.txt"):
+        put(root, name, "same words")
+    put(root, "d.txt", "other")
+    engine = Engine(spark, str(tmp_path / "state"), collapse_duplicates=True)
+    i = engine.add_root(root)
+    assert engine.index_root(i)["files_added"] == 2
+    assert sorted(r.rel_path for r in engine.table("files").collect()) == ["d.txt", "z/c.txt"]
+    assert engine.index_root(i)["files_done"] == 2
+
+
+@pytest.mark.parametrize("version", [1, 2, 3])
+def test_older_states_are_migrated(spark, tmp_path, version):
+    import json
+
+    from quarry.plans import engine as module
+
+    home = str(tmp_path / "state")
+    os.makedirs(home)
+    tables = {}
+    for name, schema in module.SCHEMAS.items():
+        if name in ("postings", "sizes") or (name == "chunks_vec" and version < 3):
+            continue
+        rows = [(1, 1, "a.txt", "a.txt", "txt", 3, 1, "f", "ext-v1", 1.0, "old words", "eng", 0, 0, None)] if name == "files" else []
+        if name == "chunks":
+            schema = "id long, file_id long, chunk_index int, text string" + (", embedding array<float>" if version == 2 else "")
+            rows = [(7, 1, 0, "old words", [0.5, 0.5])] if version == 2 else [(7, 1, 0, "old words")]
+        tables[name] = os.path.join(home, name, "old")
+        spark.createDataFrame(rows, schema).write.parquet(tables[name])
+    with open(os.path.join(home, "current.json"), "w") as f:
+        json.dump({"version": version, "tables": tables}, f)
+    e = Engine(spark, home)
+    assert e.table("chunks").columns == ["id", "file_id", "chunk_index", "text"] and e.table("chunks").count() == 1
+    assert [(r.chunk_id, r.embedding) for r in e.table("chunks_vec").collect()] == ([(7, [0.5, 0.5])] if version == 2 else [])
+    assert {r.term for r in e.table("postings").collect()} == {"a", "txt", "old", "words"} and e._state()["version"] == module.VERSION
