@@ -341,14 +341,18 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
         """(id, shingles) of nodes, from the text of one of their rows."""
 
         def run(batches):
+            done: set[int] = set()  # equal rows meet in a task and give one set
             for batch in batches:
+                ids = batch.column(0).to_pylist()
+                first = [k for k, i in enumerate(ids) if not (i in done or done.add(i))]
+                batch = batch.take(pa.array(first, pa.int64()))
                 sets = [shingles(t, shingle)[1].view(np.int64) for t in batch.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
 
         heads = nodes.join(ids.distinct(), "id", "left_semi").select("id", F.col("head.k").alias("k"), F.col("head.o").alias("o"))
-        return stage.write(rows.select("k", "o", body).dropDuplicates(["k", "o"]).join(heads, ["k", "o"]).select("id", body).mapInArrow(run, "id long, shingles array<long>"))
+        return stage.write(rows.select("k", "o", body).join(heads, ["k", "o"]).select("id", body).mapInArrow(run, "id long, shingles array<long>"))
 
     def apart(near: DataFrame) -> DataFrame:
         """Crowds of two components or more, with each document's component, that of most, and the shingles in and beside it."""
