@@ -220,14 +220,19 @@ class CachedTokenizer:
                 continue
             stop = stops.get(w[-1:])
             stem = w[:-1] if stop else w
-            if not (stem.isascii() and stem.isalpha()):
+            ascii = stem.isascii()
+            if not stem.isalpha() or not ascii and max(stem) >= "\u0250":
                 split.append((w, self._parts(w)))
                 continue
             if lower:
-                stem = stem.lower()
+                stem = stem.lower() if ascii else normalize("NFC", stem).lower()
+                if not ascii and not self._plain(stem):
+                    split.append((w, self._parts(w)))
+                    continue
             ids = now.get(stem) or old.get(stem)
-            if ids is None:  # a run of plain letters: its bytes are its letters in the merges' alphabet
-                ids = array(code, [t.id for t in merges(lead + stem)]).tobytes()
+            if ids is None:  # a run of plain letters: the merges' alphabet stands for its bytes, ASCII letters for themselves
+                raw = stem if ascii else stem.encode().decode("latin-1").translate(self.alphabet)
+                ids = array(code, [t.id for t in merges(lead + raw)]).tobytes()
             now[stem] = ids
             now[w] = ids + stop if stop else ids
         stems = {stem for _, parts in split for stem, _ in parts}.difference(now)
