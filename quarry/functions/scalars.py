@@ -9,6 +9,9 @@ import struct
 from dataclasses import dataclass, field, replace
 from datetime import UTC, date, datetime, timedelta
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 MEDIA_WORDS = ("pdf", "docx", "xlsx", "csv", "txt", "md", "png", "jpg", "jpeg")  # fixed values
 MODES = ("hybrid", "keyword", "semantic")
 
@@ -101,6 +104,21 @@ def parse_query(text: str, mode: str = "hybrid", today: str | None = None, llm=N
     return out
 
 
+PARSED = "query_text string, media_types array<string>, root_scope array<string>, date_from string, date_to string, min_confidence double, unresolved int"
+
+
+def parse_column(queries, mode: str = "hybrid", today: str | None = None):
+    """The deterministic passes over a column of queries, as a struct: Arrow batches, one call of the parser a row."""
+    fields = [x.split()[0] for x in PARSED.split(", ")]
+
+    @F.pandas_udf(PARSED)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [parse_query(t or "", mode, today) for t in texts]
+        return pd.DataFrame({f: [list(v) if isinstance(v := getattr(p, f), tuple) else v for p in found] for f in fields})
+
+    return run(queries)
+
+
 def parse_reply(reply: str) -> ParsedQuery:
     """JS1, JS2: the reply's JSON, else its first balanced object, else the query text alone; values are checked."""
     data = _object(reply) or _object(_balanced(reply))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import metrics, text
-from quarry.operators import index
+from quarry.functions import metrics, scalars, text
+from quarry.operators import index, postings
 from quarry.operators import search as find
 from quarry.operators.search import SearchQuery
 from quarry.operators.staged import spread, staged
-from quarry.plans import model
+from quarry.plans import evaluation, model
 from quarry.sources.files import ocr_files
 
 WORD, VEC = "with", 7
@@ -159,12 +160,46 @@ def search_page(spark, d):
     return find.search(model.tables(spark, d), SearchQuery(WORD, limit=20), model.query_vector(spark, d, VEC))
 
 
-@register("search_prefilter")
+@register("search_page_fields", f'WITH {HYBRID} SELECT id AS "fileId", root_id AS "rootId", path, filename, media_type AS "mediaType", size_bytes AS "sizeBytes", indexed_at AS "indexedAt", CAST(confidence AS DOUBLE) AS confidence, round(score, 9) AS score FROM found ORDER BY found.score DESC, path LIMIT 20')
+def search_page_fields(spark, d):
+    """The page's rows without their snippets."""
+    return search_page(spark, d).drop("snippet").withColumns({"confidence": F.col("confidence").cast("double"), "score": F.round("score", 9)})
+
+
+PREFILTERED = ", ".join((
+    ROOTS, FILES, CHUNKS, "flt AS (SELECT f.* FROM files f JOIN roots r ON r.id = root_id WHERE active AND deleted_at IS NULL AND media_type = 'pdf')", FEATURES.replace("FROM files", "FROM flt"), STATS, FTS,
+    NEAR.replace("FROM embeddings e,", "FROM (SELECT * FROM embeddings WHERE vec_id // 5 IN (SELECT id FROM flt)) e,"), VECS, FUSED, FOUND,
+))
+
+
+@register("search_prefilter", f"WITH {PREFILTERED} SELECT {HIT} FROM found")
 def search_prefilter(spark, d):
     t = model.tables(spark, d)
     return hits(find.candidates(t, SearchQuery(WORD, media_types=("pdf",)), model.query_vector(spark, d, VEC), prefilter=True))
 
 
+PHRASES = ("of the", "the of the", "and", "the the")
+
+
+def phrase_sql(phrase: str) -> str:
+    w = text.query_tokens(phrase)
+    each = [f"len(list_filter(range(1, len(t{k}) + {2 - len(w)}), lambda i: {' AND '.join(f't{k}[i + {j}] = {chr(39)}{x}{chr(39)}' for j, x in enumerate(w))}))" for k in range(3)]
+    return f"SELECT '{phrase}' AS phrase, file_id, CAST({' + '.join(each)} AS BIGINT) AS tf, size FROM toks"
+
+
+@register("phrase_hits", f"WITH {FILES}, toks AS (SELECT id AS file_id, {', '.join(f'{tokens_sql(c)} AS t{k}' for k, c in enumerate(find.FTS_COLUMNS))}, CAST({' + '.join(f'len({tokens_sql(c)})' for c in find.FTS_COLUMNS)} AS BIGINT) AS size FROM files) SELECT * FROM ({' UNION ALL '.join(map(phrase_sql, PHRASES))}) WHERE tf > 0")
+def phrase_hits(spark, d):
+    """Phrases of one to three words, one of them overlapping itself, from the stored postings."""
+    found = [postings.phrase_hits(model.text_index(spark, d)[0], text.query_tokens(p)).select(F.lit(p).alias("phrase"), "file_id", "tf", "size") for p in PHRASES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@register("make_postings", f"WITH {FILES} SELECT term, count(DISTINCT id) AS n_files, count(*) AS n_places FROM (SELECT id, unnest(list_concat({tokens_sql('filename')}, list_concat({tokens_sql('rel_path')}, {tokens_sql('extracted_text')}))) AS term FROM files) GROUP BY term")
+def make_postings(spark, d):
+    """The index made anew: files and places of every term."""
+    return postings.make_postings(model.files(spark, d)).groupBy("term").agg(F.count("*").alias("n_files"), F.sum(F.size("places")).alias("n_places"))
+
+
 @register("recent_files", f"WITH {ROOTS}, {FILES} SELECT f.id AS file_id, r.path || '/' || rel_path AS path, indexed_at, substr(extracted_text, 1, 20) AS head FROM files f JOIN roots r ON r.id = root_id WHERE active AND deleted_at IS NULL ORDER BY indexed_at DESC, f.id DESC LIMIT 8")
 def recent_files(spark, d):
     r = find.recent_files(model.tables(spark, d), 20)
@@ -241,7 +276,7 @@ def relative_time(spark, d):
     return model.read(spark, d, "documents").select("doc_id", text.relative_time(1_800_000_000 - age, 1_800_000_000).alias("age"))
 
 
-@register("first_sentences")
+@register("first_sentences", """SELECT doc_id, CASE WHEN e IS NOT NULL THEN regexp_replace(substr(text, 1, e), '^\\s+|\\s+$', '', 'g') ELSE substr(text, 1, 200) END AS head FROM (SELECT doc_id, text, list_max(list_filter(range(1, least(length(text), 200) + 1), lambda i: substr(text, i, 1) IN ('.', '!', '?') AND strlen(substr(text, 1, i)) <= 200)) AS e FROM documents)""")
 def first_sentences(spark, d):
     return model.read(spark, d, "documents").select("doc_id", text.first_sentences("text").alias("head"))
 
@@ -317,13 +352,73 @@ def replace_chunks(spark, d):
     return c.join(v.select(F.col("chunk_id").alias("id"), F.lit(1).alias("v")), "id", "left").groupBy("file_id").agg(F.count("*").alias("n_chunks"), F.count("v").alias("n_vectors"))
 
 
-@register("clear_root", f"WITH {FILES}, {CHUNKS} SELECT (SELECT count(*) FROM files WHERE root_id <> 3) AS files, (SELECT count(*) FROM chunks WHERE file_id NOT IN (SELECT id FROM files WHERE root_id = 3)) AS chunks, (SELECT count(*) FROM events WHERE user_id % 20 <> 3) AS index_jobs")
+LOG = "log AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN user_id % 20 END AS root_id, CASE event_id % 3 WHEN 1 THEN event_id % 1000 END AS file_id, CASE event_id % 3 WHEN 2 THEN event_id END AS job_id FROM events)"
+
+
+def stored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The index's tables; a log row names a root, a file or a job."""
+    e = model.read(spark, d, "events").select("event_id", F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("root_id"))
+    turn = F.col("event_id") % 3
+    log = e.select("id", F.when(turn == 0, F.col("root_id")).alias("root_id"), F.when(turn == 1, F.col("id") % 1000).alias("file_id"), F.when(turn == 2, F.col("id")).alias("job_id"))
+    roots = model.roots(spark, d).withColumn("last_indexed_at", F.col("id"))
+    return {"roots": roots, "files": model.files(spark, d), "chunks": model.vector_chunks(spark, d), "chunks_vec": model.vectors(spark, d), "index_jobs": e.select("id", "root_id"), "activity_log": log}
+
+
+GONE = "gone AS (SELECT id FROM files WHERE root_id = 3)"
+
+
+@register("clear_root", f"WITH {FILES}, {CHUNKS}, {LOG}, {GONE} SELECT (SELECT count(*) FROM files WHERE root_id <> 3) AS files, (SELECT count(*) FROM chunks WHERE file_id NOT IN (SELECT id FROM gone)) AS chunks, (SELECT count(*) FROM chunks WHERE file_id NOT IN (SELECT id FROM gone)) AS chunks_vec, (SELECT count(*) FROM events WHERE user_id % 20 <> 3) AS index_jobs")
 def clear_root(spark, d):
-    jobs = model.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("root_id"))
-    log = jobs.select("id", "root_id", F.lit(None).cast("long").alias("file_id"), F.col("id").alias("job_id"))
-    out = index.clear_root({"files": model.files(spark, d), "chunks": model.vector_chunks(spark, d), "chunks_vec": model.vectors(spark, d), "index_jobs": jobs, "activity_log": log}, 3)
-    one = [out[k].agg(F.count("*").alias(k)) for k in ("files", "chunks", "index_jobs")]
-    return one[0].join(one[1]).join(one[2])
+    out = index.clear_root(stored(spark, d), 3)
+    one = [out[k].agg(F.count("*").alias(k)) for k in ("files", "chunks", "chunks_vec", "index_jobs")]
+    return one[0].join(one[1]).join(one[2]).join(one[3])
+
+
+@register("clear_root_log", f"WITH {FILES}, {LOG}, {GONE} SELECT id, root_id, file_id, job_id FROM log WHERE coalesce(root_id, -1) <> 3 AND coalesce(file_id, -1) NOT IN (SELECT id FROM gone) AND coalesce(job_id, -1) NOT IN (SELECT event_id FROM events WHERE user_id % 20 = 3)")
+def clear_root_log(spark, d):
+    """Log rows that name neither the root nor one of its files or jobs."""
+    return index.clear_root(stored(spark, d), 3)["activity_log"]
+
+
+@register("clear_all", f"WITH {ROOTS} SELECT 'roots' AS name, count(*) AS n, CAST(0 AS BIGINT) AS indexed FROM roots UNION ALL SELECT unnest(['activity_log', 'chunks', 'chunks_vec', 'files', 'index_jobs']), 0, 0")
+def clear_all(spark, d):
+    out = index.clear_all(stored(spark, d))
+    return reduce(DataFrame.unionByName, [t.agg(F.lit(k).alias("name"), F.count("*").alias("n"), (F.count("last_indexed_at") if k == "roots" else F.lit(0).cast("long")).alias("indexed")) for k, t in out.items()])
+
+
+@register("touch_files", f"WITH {FILES} SELECT id, CASE WHEN id % 4 = 0 THEN 77 ELSE index_marker END AS index_marker, CASE WHEN id % 4 = 0 THEN 1900000000 ELSE indexed_at END AS indexed_at, CASE WHEN id % 8 = 0 THEN mtime_ns + 5 ELSE mtime_ns END AS mtime_ns FROM files")
+def touch_files(spark, d):
+    f = model.files(spark, d)
+    return index.touch_files(f, f.where("id % 4 = 0").select("id", F.when(F.col("id") % 8 == 0, F.col("mtime_ns") + 5).alias("mtime_ns")), 77, 1_900_000_000).select("id", "index_marker", "indexed_at", "mtime_ns")
+
+
+MOVES = "moves AS (SELECT f.id, coalesce(o.rel_path, 'new/' || f.filename) AS rel_path, f.mtime_ns + 1 AS mtime_ns, f.root_id FROM files f LEFT JOIN files o ON o.root_id = f.root_id AND o.id = f.id + 20 AND o.deleted_at IS NOT NULL WHERE f.deleted_at IS NULL AND f.id % 17 = 0)"
+
+
+@register("move_files", f"WITH {FILES}, {MOVES} SELECT f.id, coalesce(m.rel_path, f.rel_path) AS rel_path, CASE WHEN m.id IS NULL THEN f.filename ELSE regexp_replace(m.rel_path, '^.*/', '') END AS filename, coalesce(m.mtime_ns, f.mtime_ns) AS mtime_ns, CASE WHEN m.id IS NULL THEN f.index_marker ELSE 78 END AS index_marker, CASE WHEN m.id IS NULL THEN f.deleted_at END AS deleted_at FROM files f LEFT JOIN moves m ON m.id = f.id WHERE NOT EXISTS (SELECT 1 FROM moves x WHERE x.root_id = f.root_id AND x.rel_path = f.rel_path AND x.id <> f.id)")
+def move_files(spark, d):
+    """Files that move, some onto the place of a retired file, which goes."""
+    f = model.files(spark, d)
+    old = f.where("deleted_at is not null").select((F.col("id") - 20).alias("id"), "root_id", F.col("rel_path").alias("onto"))
+    moves = f.where("deleted_at is null and id % 17 = 0").join(old, ["id", "root_id"], "left").select("id", F.coalesce("onto", F.concat(F.lit("new/"), "filename")).alias("rel_path"), (F.col("mtime_ns") + 1).alias("mtime_ns"))
+    return index.move_files(f, moves, 78, 1_900_000_000).select("id", "rel_path", "filename", "mtime_ns", "index_marker", "deleted_at")
+
+
+@register("update_content", f"WITH {FILES} SELECT id, CASE WHEN id % 6 = 0 THEN 'text ' || id ELSE extracted_text END AS extracted_text, CAST(CASE WHEN id % 6 = 0 THEN 0.25 ELSE confidence END AS DOUBLE) AS confidence, CASE WHEN id % 6 = 0 THEN 'xx' ELSE lang_hint END AS lang_hint, CASE WHEN id % 6 = 0 THEN 'v9' ELSE model_version END AS model_version, CASE WHEN id % 6 = 0 THEN 1900000000 ELSE indexed_at END AS indexed_at FROM files")
+def update_content(spark, d):
+    f = model.files(spark, d)
+    new = f.where("id % 6 = 0").select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("extracted_text"), F.lit(0.25).cast("float").alias("confidence"), F.lit("xx").alias("lang_hint"), F.lit("v9").alias("model_version"))
+    return index.update_content(f, new, 1_900_000_000).select("id", "extracted_text", F.col("confidence").cast("double").alias("confidence"), "lang_hint", "model_version", "indexed_at")
+
+
+@register("without_vectors", f"WITH {CHUNKS} SELECT id, file_id FROM chunks WHERE id % 5 = 2")
+def without_vectors(spark, d):
+    return index.without_vectors(model.vector_chunks(spark, d), model.vectors(spark, d).where("chunk_id % 5 <> 2")).select("id", "file_id")
+
+
+@register("collapse_duplicates", f"WITH {FILES} SELECT root_id, max(rel_path) AS rel_path, fingerprint FROM files GROUP BY root_id, fingerprint")
+def collapse_duplicates(spark, d):
+    return index.collapse_duplicates(model.files(spark, d).select("root_id", "rel_path", "fingerprint"))
 
 
 @register("pending_files", f"WITH {FILES} SELECT id, rel_path, media_type FROM files WHERE model_version = '' AND deleted_at IS NULL")
@@ -355,10 +450,50 @@ def ocr_confidence(spark, d):
     return ocr_files(e).select("file_id", F.round("confidence", 6).alias("confidence"), "pages", F.md5("text").alias("text_md5"))
 
 
-@register("progress_percent", "SELECT event_id, CAST(CASE WHEN event_id % 9 = 0 THEN 100 ELSE floor((event_id % 7) * 100.0 / 8 + 0.5) END AS BIGINT) AS percent FROM events")
+@register("progress_percent", "SELECT event_id, CAST(CASE WHEN event_id % 9 = 0 THEN 100 WHEN event_id % 2 = 0 THEN floor((event_id % 7) * 100.0 / 8 + 0.5) WHEN event_id % 5 = 0 THEN 0 ELSE floor((event_id % 3) * 100.0 / (event_id % 5) + 0.5) END AS BIGINT) AS percent FROM events")
 def progress_percent(spark, d):
+    """Both phases; an extraction without files is at nothing."""
     i = F.col("event_id")
-    return model.read(spark, d, "events").select("event_id", text.progress_percent(i % 9 == 0, F.lit("discovering"), F.lit(8), i % 7, F.lit(0), F.lit(0)).alias("percent"))
+    return model.read(spark, d, "events").select("event_id", text.progress_percent(i % 9 == 0, F.when(i % 2 == 0, "discovering").otherwise("extracting"), F.lit(8), i % 7, i % 5, i % 3).alias("percent"))
+
+
+@register("remove_token", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(?i)\bthe\b', ''), '\s{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS left_md5 FROM documents""")
+def remove_token(spark, d):
+    return spread(model.read(spark, d, "documents")).select("doc_id", F.md5(text.remove_first_token("text", "the")).alias("left_md5"))
+
+
+@register("page_times", "SELECT user_id AS file_id, count(*) FILTER (event_id % 7 <> 0) AS ok, count(*) FILTER (event_id % 7 = 0) AS errors, coalesce(min(event_id % 1000) FILTER (event_id % 7 <> 0), 0) AS min_ms, CAST(coalesce(floor(sum(event_id % 1000) FILTER (event_id % 7 <> 0) / nullif(count(*) FILTER (event_id % 7 <> 0), 0)), 0) AS BIGINT) AS mean_ms, coalesce(max(event_id % 1000) FILTER (event_id % 7 <> 0), 0) AS max_ms FROM events GROUP BY 1")
+def page_times(spark, d):
+    e = model.read(spark, d, "events").select(F.col("user_id").alias("file_id"), (F.col("event_id") % 1000).alias("ms"), F.when(F.col("event_id") % 7 == 0, "late").alias("error"))
+    return evaluation.page_times(e, "file_id")
+
+
+@register("delta_format", "SELECT event_id, CASE WHEN x >= 0 THEN '+' ELSE '-' END || printf('%.3f', floor(abs(x) * 1000 + 0.5) / 1000) AS delta FROM (SELECT event_id, (event_id % 64) / 32.0 - 1.0 AS x FROM events)")
+def delta_format(spark, d):
+    return model.read(spark, d, "events").select("event_id", text.format_delta((F.col("event_id") % 64) / 32.0, F.lit(1.0)).alias("delta"))
+
+
+_N = "CAST(item_id AS VARCHAR)"
+PARSES = (
+    # query; its text, media types, scope, dates from and to, confidence
+    ("'pdf notes' || n || ' from 2023 in Finance'", "'notes' || n", "['pdf']", "['finance']", "'2023-01-01'", "'2023-12-31'", "0.0"),
+    ("'Report ' || n || ' 2022 min confidence 0.75'", "'Report ' || n", "[]", "[]", "'2022-01-01'", "'2022-12-31'", "0.75"),
+    ("'notes' || n || ' today DOCX'", "'notes' || n", "['docx']", "[]", "'2026-01-05'", "'2026-01-05'", "0.0"),
+    ("'min confidence 2024 x' || n", "'min confidence x' || n", "[]", "[]", "'2024-01-01'", "'2024-12-31'", "0.0"),
+    ("'in pdf  in A' || n || ' jpeg'", "'in'", "['pdf', 'jpeg']", "['a' || n]", "NULL", "NULL", "0.0"),
+    ("'png 2020'", "'png 2020'", "['png']", "[]", "'2020-01-01'", "'2020-12-31'", "0.0"),
+    ("'w' || n || ' in min confidence 0.5'", "'w' || n || ' confidence 0.5'", "[]", "['min']", "NULL", "NULL", "0.0"),
+    ("'from 2021 from 2022 q' || n || ' min confidence 0.5 min confidence 1.5'", "'from 2022 q' || n", "[]", "[]", "'2021-01-01'", "'2021-12-31'", "1.5"),
+)
+_PICK = [f"CASE item_id % {len(PARSES)} " + " ".join(f"WHEN {k} THEN {row[i]}" for k, row in enumerate(PARSES)) + " END" for i in range(7)]
+
+
+@register("parse_queries", f"SELECT item_id, {_PICK[1]} AS query_text, array_to_string(CAST({_PICK[2]} AS VARCHAR[]), ',') AS media_types, array_to_string(CAST({_PICK[3]} AS VARCHAR[]), ',') AS root_scope, {_PICK[4]} AS date_from, {_PICK[5]} AS date_to, CAST({_PICK[6]} AS DOUBLE) AS min_confidence FROM (SELECT item_id, {_N} AS n FROM benchmark)")
+def parse_queries(spark, d):
+    """The parser's passes over a column of queries."""
+    rows = model.read(spark, d, "benchmark").selectExpr("item_id", f"{_N.replace('VARCHAR', 'STRING')} AS n").selectExpr("item_id", f"{_PICK[0]} AS query")
+    p = rows.select("item_id", scalars.parse_column(F.col("query"), today="2026-01-05").alias("p"))
+    return p.select("item_id", "p.query_text", F.array_join("p.media_types", ",").alias("media_types"), F.array_join("p.root_scope", ",").alias("root_scope"), "p.date_from", "p.date_to", "p.min_confidence")
 
 
 @register("recent_per_root", f"WITH {FILES} SELECT root_id, id FROM (SELECT root_id, id, row_number() OVER (PARTITION BY root_id ORDER BY indexed_at DESC, id DESC) AS r FROM files) WHERE r <= 3")
