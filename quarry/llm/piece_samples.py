@@ -92,7 +92,7 @@ class Lattices:
         self.weight = weight
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         spell = {i: bytes([b]) for b, i in enumerate(self.bytes)}
-        self.spelled = [spell.get(i) or (b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)]
+        self.spelled = pa.array([spell.get(i) or (b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)], pa.binary())
         self.marked = [p.startswith(MARK) for p in pieces]
         self.unit_form = UNIT if any(re.search(r"[^\W\d_][.,]", pieces[i]) for i in plain) else SHORT_UNIT
         self._build_trie()
@@ -292,13 +292,22 @@ class Lattices:
             out[start[r] + k] = e
         return out, n
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, as the library decodes them."""
-        raw = b"".join(map(self.spelled.__getitem__, ids.tolist()))
-        try:
-            return (raw[1:] if raw[:1] == b" " and self.marked[ids[0]] else raw).decode()
-        except UnicodeDecodeError:  # bytes that make no character
-            return self.sp.decode(ids.tolist())
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of some runs of ids, as the library decodes them."""
+        run = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        taken = self.spelled.take(pa.array(run.astype(np.int32)))
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(run) + 1)
+        raw = memoryview(taken.buffers()[2] or b"")
+        out, a = [], 0
+        for x in ids:
+            b = a + len(x)
+            start = int(ends[a]) + bool(len(x) and self.marked[x[0]])
+            try:
+                out.append(str(raw[start : int(ends[b])], "utf-8"))
+            except UnicodeDecodeError:  # bytes that make no character
+                out.append(self.sp.decode(x.tolist()))
+            a = b
+        return out
 
     def tokens(self, edges: np.ndarray) -> np.ndarray:
         ids = self.piece[edges]
@@ -404,11 +413,9 @@ def sample_pieces(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, s
     def run(batches):
         lat = Lattices.get(model, alpha)
         for keys, texts in text_batches(batches):
-            rows = []
-            for key, found in zip(keys, sample_texts(lat, keys, texts, k, seed), strict=True):
-                for s, (ids, lp, g, pi) in enumerate(found):
-                    text = lat.decode(ids) if decoded else ""
-                    rows.append((key, s, len(ids), ids.tobytes(), lp, g, pi, *((len(text), zlib.crc32(text.encode())) if decoded else ())))
+            every = [(key, s, *x) for key, found in zip(keys, sample_texts(lat, keys, texts, k, seed), strict=True) for s, x in enumerate(found)]
+            again = [(len(t), zlib.crc32(t.encode())) for t in lat.decode([x[2] for x in every])] if decoded else [()] * len(every)
+            rows = [(key, s, len(ids), ids.tobytes(), lp, g, pi, *more) for (key, s, ids, lp, g, pi), more in zip(every, again, strict=True)]
             names = [f.split()[0] for f in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
@@ -421,7 +428,7 @@ def decode_pieces(samples: DataFrame, model: str) -> DataFrame:
     def run(batches):
         lat = Lattices.get(model, 1.0)
         for batch in batches:
-            texts = [lat.decode(np.frombuffer(raw, "<u4")) for raw in batch.column(2).to_pylist()]
+            texts = lat.decode([np.frombuffer(raw, "<u4") for raw in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "sample", "text_chars", "text_crc32", "text"])
 
     return samples.select("doc_id", "sample", "ids").mapInArrow(run, f"doc_id long, sample int, {DECODED}, text string")
