@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import claim, clean, text_batches
@@ -101,6 +102,29 @@ class Lattices:
     def units(self, text: str) -> list[str]:
         return self.unit_form.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First nodes of all texts' units in a row, and how many units each text has; units are learnt on the way.
+
+        Words are split and numbered by Arrow and looked up once each; texts with other blanks than single ones between
+        words, and with marks of their own, are cut whole.
+        """
+        column = pa.array(texts, pa.string())
+        whole = pc.or_(pc.match_substring_regex(column, f"^ | $|  |{MARK}"), pc.equal(column, ""))
+        words = pc.split_pattern(pc.if_else(whole, "", column), " ")
+        begin = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        row = coded.indices.to_numpy().astype(np.int64)
+        units = [self.unit_form.findall(MARK + w) for w in coded.dictionary.to_pylist()]
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        row[begin[alone]] = len(units) + np.arange(len(alone))
+        units += [self.units(texts[d]) for d in alone.tolist()]
+        self.learn(set(chain.from_iterable(units)))
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        nodes = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(units)), np.int64, int(size.sum()))
+        start, n = np.cumsum(size) - size, size[row]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return nodes[np.repeat(start[row] - ends[:-1], n) + np.arange(ends[-1])], np.diff(ends[begin])
+
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
         self.nodes = 0
@@ -323,10 +347,7 @@ class Lattices:
 
 def sample_texts(lat: Lattices, keys: list, texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best first: ids, log probability, perturbed value, inclusion score."""
-    units = [lat.units(t) for t in texts]
-    lat.learn(set().union(*units))
-    count = np.array([len(u) for u in units], np.int64)
-    nodes = np.fromiter(map(lat.unit.__getitem__, chain.from_iterable(units)), np.int64, int(count.sum()))
+    nodes, count = lat.places(texts)
     begin = np.cumsum(count) - count
     doc = np.repeat(np.arange(len(texts)), count)
     place = (np.arange(len(nodes)) - begin[doc]).astype(np.uint64)
