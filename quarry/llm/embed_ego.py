@@ -4,8 +4,10 @@ Unit vectors within cosine c are within eps = sqrt(2 - 2c). Vectors are projecte
 to a bounded sample; the axes are orthonormal, so a projection never lengthens a distance), sorted by their grid cells
 of side eps and cut into blocks, which are intervals of that order. Two blocks whose bounding boxes are over eps
 apart are provably distant and skipped; the others are joined by halving the longer interval and skipping distant
-halves again, until small ones are compared exactly in double precision over all dimensions. A pair of blocks
-returns link counts per vector and one edge per vector that has links, never its pairs.
+halves again, until small ones are compared exactly in double precision over all dimensions. Pairs of blocks are
+gathered in tiles of 2**TILE by 2**TILE blocks that follow each other in the order; a tile is a task's unit of work and is
+sent each of its blocks once, however many pairs the block is in. A pair of blocks returns link counts per vector and
+one edge per vector that has links, never its pairs.
 
 Equal vectors of a label are folded first and counted, so a crowd of copies is one vector with a weight. Labels and
 dimensions are joined apart. Vectors that are null, empty, zero or hold null or non-finite components, and rows with
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Stage, components
 
-SAMPLE, AXES, BLOCK, SMALL = 10_000, 8, 1_024, 128
+SAMPLE, AXES, BLOCK, SMALL, TILE = 10_000, 8, 1_024, 128, 3
 
 
 def read_vectors(vectors: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def join_blocks(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, ax
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    spark, stage = vectors.sparkSession, Stage(vectors.sparkSession)
+    stage = Stage(vectors.sparkSession)
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     rows = stage.write(read_vectors(vectors))
     key = ["label", "dim", "digest"]
@@ -182,25 +184,36 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda p, q: p - q), F.zip_with("low_b", "high_a", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
     distance = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
     pairs = left.join(right, ["label", "dim", "cell"]).where("block_a <= block_b").where(distance <= eps * eps).select("block_a", "block_b").distinct()
-    side = {s: blocks.select(F.col("block").alias(f"block_{s}"), *([F.col("dim")] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("reps", "ns", "vecs"))) for s in "ab"}
-    loaded = pairs.join(side["a"], "block_a").join(side["b"], "block_b").select("block_a", "block_b", "dim", "reps_a", "ns_a", "vecs_a", "reps_b", "ns_b", "vecs_b")
-
-    def solve(batches):
-        for batch in batches:
-            for a, b, dim, ra, na, va, rb, nb, vb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = unit([va], dim), unit([vb], dim)
-                cx, cy, label = join_blocks(x, y, np.array(na, np.int64), np.array(nb, np.int64), axes[dim], cosine, a == b)
-                ids = np.array(ra if a == b else ra + rb, np.int64)
-                counts = cx if a == b else np.concatenate([cx, cy])
+    tiles = stage.write(pairs.select(*(F.shiftright(f"block_{x}", TILE).alias(f"t{x}") for x in "ab"), "block_a", "block_b"))
+
+    def side(x: str) -> DataFrame:
+        """The blocks of the tiles' rows (a) or columns (b): one that takes part in a tile is sent to it once."""
+        sent = tiles.select("ta", "tb", F.col(f"block_{x}").alias("block")).distinct().join(blocks, "block")
+        return sent.toDF(*(f"{c}_{x}" for c in sent.columns))
+
+    def solve(key: tuple, rows: pa.Table, cols: pa.Table) -> pa.Table:
+        """All pairs of a tile's blocks whose boxes are near, by the test that made the pairs."""
+        out: list[tuple[np.ndarray, ...]] = []
+        left, right = ([{c[:-2]: v for c, v in r.items()} for r in t.to_pylist()] for t in (rows, cols))
+        right = [(r, unit([r["vecs"]], r["dim"])) for r in right]
+        for p in left:
+            x = unit([p["vecs"]], p["dim"])
+            for q, y in right:
+                if p["block"] > q["block"] or (p["label"], p["dim"]) != (q["label"], q["dim"]):
+                    continue
+                gap = np.maximum(0, np.maximum(np.subtract(p["low"], q["high"]), np.subtract(q["low"], p["high"])))
+                if (gap * gap).sum() > eps * eps:
+                    continue
+                same = p["block"] == q["block"]
+                cx, cy, label = join_blocks(x, y, np.array(p["ns"], np.int64), np.array(q["ns"], np.int64), axes[p["dim"]], cosine, same)
+                ids = np.array(p["reps"] if same else p["reps"] + q["reps"], np.int64)
+                counts = cx if same else np.concatenate([cx, cy])
                 hit = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[label[hit]]), pa.array(counts[hit])], names=["a", "b", "n"])
-
-    conf, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(conf, "16")  # a row holds two blocks
-    try:
-        found = stage.write(loaded.mapInArrow(solve, "a long, b long, n long"))
-    finally:
-        spark.conf.set(conf, was)
+                out.append((ids[hit], ids[label[hit]], counts[hit]))
+        cells = [np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3)]
+        return pa.table({"a": cells[0], "b": cells[1], "n": cells[2]})
+
+    found = stage.write(side("a").groupBy("ta_a", "tb_a").cogroup(side("b").groupBy("ta_b", "tb_b")).applyInArrow(solve, "a long, b long, n long"))
     links = found.groupBy("a").agg(F.sum("n").alias("far"))
     group = components(stage, found.where("a != b").select("a", "b"))
     named = stage.write(reps.select(*key, "rep", "n").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left").select(*key, (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))

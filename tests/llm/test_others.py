@@ -201,6 +201,17 @@ def test_vectors(spark):
     assert embed_ego.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_many_blocks(spark, monkeypatch):
+    """Blocks of eight vectors: many tiles, links inside and between them, ties of the axes, one label of a third."""
+    r = np.random.default_rng(13)
+    base = r.normal(size=(40, 6)) * [4, 2, 1, 0, 0, 0]
+    rows = [(i, int(i % 3 > 1), (base[i % 40] + r.normal(size=6) * r.choice([0.0, 0.02, 0.1])).astype(np.float32).tolist()) for i in range(700)]
+    monkeypatch.setattr(embed_ego, "BLOCK", 8)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = sorted((True, x.vec_id, x.n_links, x.component_id, x.kept) for x in embed_ego.near_vectors(df).collect())
+    assert got == plain_links(rows, 0.98)
+
+
 def test_ego_join_prunes_and_loses_nothing(monkeypatch):
     r = np.random.default_rng(9)
     x = r.normal(size=(900, 4)) * [3, 1, 1, 1]
@@ -329,6 +340,44 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(left)
 
 
+def write(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    none = write(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_pipeline_tells_rows_of_equal_ids_apart(spark, tmp_path):
+    """Null and repeated ids, equal rows, near copies, a shared passage, a secret, columns with clashing names."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(21)
+    fresh = lambda n: list(r.choice([f"word{i}" for i in range(9000)], n))
+    one, two, three, passage = fresh(120), fresh(150), fresh(90), fresh(60)
+    near = one.copy()
+    near[60] = "edited"
+    rows = [(1, one, "a"), (1, near, "b"), (1, two, "c"), (1, two, "c"), (None, three, "d"), (None, three, "d"), (2, fresh(100) + passage, "e"), (2, passage + fresh(100), "f"), (3, fresh(70) + ["password=hunter22"], "g"), (4, ["too", "short"], "h"), (5, [], "i")]
+    data = [(i, " ".join(w), k, k, 7, "x", 1) for i, w, k in rows] + [(6, None, "j", "j", 0, "x", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, k string, shard int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    left = docs
+    for name, want in (("quality rules", "abccddefg"), ("SimHash near-dedup", None), ("substring dedup", None), ("secret scans", None)):
+        left = stages[name](spark, left, str(tmp_path))
+        assert left.columns == docs.columns
+        got = "".join(sorted(x.lang for x in left.collect()))
+        assert got == want if want else got in ("acdefg", "bcdefg"), name
+    texts = {x.lang: x.text for x in left.collect()}
+    assert sum(" ".join(passage) in t for t in texts.values()) == 1 and "[REDACTED]" in texts["g"] and "hunter22" not in texts["g"]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(x.start == 0 for x in pieces) == 6 and {x.doc_id for x in pieces} == {1, 2, 3, None}
+
+
 @pytest.mark.parametrize("a, b", [("x " * 3, "x x x"), ("", "y")])
 def test_similarity_of_short_texts(a, b):
     p, q = simhash.views(a, 5)[2], simhash.views(b, 5)[2]
