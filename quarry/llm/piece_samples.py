@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame
 from .common import claim, clean, text_batches
 
 MARK = "▁"
-#: A mark and its word; where no piece joins a letter to a stop, the stops behind a word are a unit of their own.
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-SHORT_UNIT = re.compile(rf"{MARK}[^\W\d_]+(?![^.,{MARK}])|{MARK}+[^{MARK}]*|[.,][^{MARK}]*")
+#: Units, which no piece crosses: a mark and its word; where no piece joins a letter to a stop, the stops behind a word are
+#: a unit of their own; where no piece holds a line feed, lines are cut.
+UNIT = f"{MARK}+[^{MARK}]*"
+SHORT_UNIT = rf"{MARK}[^\W\d_]+(?![^.,{MARK}])|{MARK}+[^{MARK}]*|[.,][^{MARK}]*"
 #: Units a worker keeps, some 800 bytes each, and the characters whose lattices it builds at once.
-CACHED_UNITS = 300_000
+CACHED_UNITS = 250_000
 CHUNK_CHARS = 65_536
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,7 +67,7 @@ class Lattices:
 
     Node i's edges are first[i] to first[i + 1]; edge e leads to node to[e] (-1: the word's end) with conditional
     log probability log_q[e], longer pieces first; cum[e] sums probabilities over the node's edges up to e. A piece
-    below 0 is -1 - the code point of a character spelled in bytes. A full cache keeps the units of the batch at hand.
+    below 0 is -1 - the code point of a character spelled in bytes. A full cache keeps the units that came again.
     """
 
     _made: dict[tuple[str, float], Lattices] = {}
@@ -95,7 +96,10 @@ class Lattices:
         spell = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.spelled = pa.array([spell.get(i) or (b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)], pa.binary())
         self.marked = [p.startswith(MARK) for p in pieces]
-        self.unit_form = UNIT if any(re.search(r"[^\W\d_][.,]", pieces[i]) for i in plain) else SHORT_UNIT
+        form = UNIT if any(re.search(r"[^\W\d_][.,]", pieces[i]) for i in plain) else SHORT_UNIT
+        if not any("\n" in pieces[i] and len(pieces[i]) > 1 for i in plain):
+            form = form.replace(f"{MARK}]", f"{MARK}\n]") + f"|\n|[^{MARK}\n]+"
+        self.unit_form = re.compile(form)
         self._build_trie()
         self.clear()
 
@@ -108,25 +112,41 @@ class Lattices:
         Words are split and numbered by Arrow and looked up once each; texts with other blanks than single ones between
         words, and with marks of their own, are cut whole.
         """
+        if len(self.unit) > CACHED_UNITS:  # what came again since the last time stays
+            self._keep(self.again)
+            self.again = set()
         column = pa.array(texts, pa.string())
         whole = pc.or_(pc.match_substring_regex(column, f"^ | $|  |{MARK}"), pc.equal(column, ""))
         words = pc.split_pattern(pc.if_else(whole, "", column), " ")
         begin = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         row = coded.indices.to_numpy().astype(np.int64)
-        units = [self.unit_form.findall(MARK + w) for w in coded.dictionary.to_pylist()]
+        keys = [MARK + w for w in coded.dictionary.to_pylist()]
+        known = list(map(self.unit.get, keys))  # a word that is one unit
+        self.again.update(k for k, node in zip(keys, known, strict=True) if node is not None)
         alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-        row[begin[alone]] = len(units) + np.arange(len(alone))
-        units += [self.units(texts[d]) for d in alone.tolist()]
-        self.learn(set(chain.from_iterable(units)))
-        size = np.fromiter(map(len, units), np.int64, len(units))
-        nodes = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(units)), np.int64, int(size.sum()))
-        start, n = np.cumsum(size) - size, size[row]
+        row[begin[alone]] = len(keys) + np.arange(len(alone))
+        cut = [(k, self.unit_form.findall(keys[k])) for k, node in enumerate(known) if node is None] + [(len(keys) + k, self.units(texts[d])) for k, d in enumerate(alone.tolist())]
+        fresh = set(chain.from_iterable(u for _, u in cut))
+        self.learn(fresh)
+        size = np.ones(len(keys) + len(alone), np.int64)
+        place = np.fromiter((k for k, _ in cut), np.int64, len(cut))
+        size[place] = np.fromiter((len(u) for _, u in cut), np.int64, len(cut))
+        start = np.cumsum(size) - size
+        nodes = np.empty(int(size.sum()), np.int64)
+        one = np.ones(len(size), bool)
+        one[place] = False
+        nodes[start[one]] = [node for node in known if node is not None]
+        made = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(u for _, u in cut)), np.int64, int(size[place].sum()))
+        inside = np.arange(len(made)) - np.repeat(np.cumsum(size[place]) - size[place], size[place])
+        nodes[np.repeat(start[place], size[place]) + inside] = made
+        n = size[row]
         ends = np.concatenate([[0], np.cumsum(n)])
         return nodes[np.repeat(start[row] - ends[:-1], n) + np.arange(ends[-1])], np.diff(ends[begin])
 
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
+        self.again: set[str] = set()
         self.nodes = 0
         self.first, self.to, self.piece = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
         self.cum, self.log_q, self.log_rest = (np.empty(0) for _ in range(3))
@@ -196,8 +216,6 @@ class Lattices:
 
     def learn(self, units: set[str]) -> None:
         fresh = [u for u in units if u not in self.unit]
-        if len(self.unit) + len(fresh) > CACHED_UNITS:
-            self._keep(units)
         fresh.sort(key=len)
         a = 0
         while a < len(fresh):  # some units of like length at a time, whose arrays a processor's cache holds
