@@ -61,5 +61,14 @@ def urls() -> str:
  SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN x.template IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, template FROM u JOIN t USING (host, path) LEFT JOIN x USING (host, template)"""
 
 
+_ANY = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)  # noqa: E731  letters in either case, ASCII only
+_KINDS = (("assign", rf"""({"|".join([*map(_ANY, ("password", "passwd", "secret", "token")), _ANY("api") + "_?" + _ANY("key")])})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24))
+SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ k AS ({" UNION ALL ".join(f"SELECT doc_id, {o} AS o, '{kind}' AS kind, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, {least} AS least FROM d" for o, (kind, pattern, group, least) in enumerate(_KINDS))}),
+ s AS (SELECT doc_id, o, kind, list_sum(list_transform(p[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k) WHERE length(v[i]) >= least),
+ g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (o = {o}) AS n_{kind}" for o, (kind, *_) in enumerate(_KINDS))}, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, o) AS spans FROM s GROUP BY doc_id)
+ SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in _KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_reply_trees": CHATS, "op6_epsilon_grid": EMBEDDINGS, "op7_quality_cascade": QUALITY, "op9_phrase_automata": PHRASES, "op10_url_templates": urls()}
+    return {"secret_base": SECRETS, "op4_reply_trees": CHATS, "op6_epsilon_grid": EMBEDDINGS, "op7_quality_cascade": QUALITY, "op9_phrase_automata": PHRASES, "op10_url_templates": urls()}

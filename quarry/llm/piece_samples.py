@@ -93,6 +93,7 @@ class Lattices:
         self.ids = {pieces[i]: i for i in plain}
         self.weight = weight
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.byte_ids = np.array(self.bytes)
         spell = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.spelled = pa.array([spell.get(i) or (b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)], pa.binary())
         self.marked = [p.startswith(MARK) for p in pieces]
@@ -352,8 +353,13 @@ class Lattices:
         return out
 
     def tokens(self, edges: np.ndarray) -> np.ndarray:
-        ids = self.piece[edges]
+        ids = self.piece[edges].astype(np.int64)
         odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids.astype("<u4")
+        short = odd[ids[odd] >= -128]  # ASCII: a byte each
+        ids[short] = self.byte_ids[-1 - ids[short]]
+        odd = odd[ids[odd] < 0]
         if not len(odd):
             return ids.astype("<u4")
         parts, last = [], 0

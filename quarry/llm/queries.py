@@ -49,6 +49,11 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express: its base spans."""
+    return op5_secret_links(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op6_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_ego.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +77,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     out = {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
-    return dict(sorted(out.items()))
+    return dict(sorted(out.items())) | {"secret_base": secret_base}
 
 
 def oracle_sql() -> dict[str, str]:
