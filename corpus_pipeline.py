@@ -2,6 +2,11 @@
 
 Every stage works on all its predecessor kept and returns the columns of documents, but for the last, whose rows
 are pieces of packed sequences. Stages' results are Parquet in the folder of spark.checkpoint.dir.
+
+Rows are told apart by doc_id and a hash of their text, never by doc_id alone: rows of equal or null doc_id are documents
+of their own. Of wholly equal rows near-dedup keeps one. Null, empty and very short texts are rejected by the quality
+rules; very long texts are worked on whole. An empty table gives no pieces. Other columns, whatever their names, pass
+through all stages but the last, which names its pieces by doc_id.
 """
 
 from __future__ import annotations

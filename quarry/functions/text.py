@@ -74,10 +74,14 @@ def chunks(c: Column | str, size: int = 256, overlap: int = 32) -> Column:
     """WN5: windows of `size` words that advance by size - overlap, until one reaches the end."""
     if overlap >= size:
         raise ValueError("overlap must be less than size")
-    w, step = words(c), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step).cast("int"))
-    at = F.when(F.size(w) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda k: F.struct((k * step).alias("start_token"), F.least(k * step + size, F.size(w)).alias("end_token"), F.array_join(F.slice(w, k * step + 1, size), " ").alias("text")))
+    step = size - overlap
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step).cast("int"))
+        at = F.when(F.size(w) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.struct((k * step).alias("start_token"), F.least(k * step + size, F.size(w)).alias("end_token"), F.array_join(F.slice(w, k * step + 1, size), " ").alias("text")))
+
+    return F.get(F.transform(F.array(words(c)), cut), F.lit(0))  # words are split once, not for every chunk
 
 
 def first_sentences(c: Column | str, most: int = 200) -> Column:
