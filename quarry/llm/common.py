@@ -104,6 +104,15 @@ def rolling(hashes: np.ndarray, width: int, mult: int = 0x9E3779B97F4A7C15) -> n
     return out ^ (out >> np.uint64(32))
 
 
+def strings(values: pa.Array, lead: str = "") -> list[str]:
+    """The strings of an array without nulls, each behind `lead`: joined by Arrow and cut at once, which is many times quicker than one by one."""
+    if not len(values):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    out = (lead + pc.binary_join(whole, "\0" + lead)[0].as_py()).split("\0")
+    return out if len(out) == len(values) else [lead + x for x in values.to_pylist()]
+
+
 class CachedTokenizer:
     """Whole texts to ids by the tokenizers library, each distinct word encoded once for a worker.
 
@@ -260,11 +269,11 @@ class CachedTokenizer:
         words, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         coded = words.dictionary_encode()
-        distinct, row = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, row = strings(coded.dictionary), coded.indices.to_numpy()
         self._learn(set(distinct))
         ids = list(map(self.now.__getitem__, distinct))
         if self.mode == "bytes" or apart:  # the first word has no blank before it; texts to be encoded whole stand in its place
-            heads = words.take(pa.array(at[:-1])).to_pylist()
+            heads = strings(words.take(pa.array(at[:-1])))
             first = [t if w else h for h, w, t in zip(heads, whole.to_pylist(), pc.if_else(whole, texts, "").to_pylist(), strict=True)]
             row = row.copy()
             row[at[:-1]] = len(ids) + np.arange(len(first))

@@ -24,14 +24,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import claim, clean, text_batches
+from .common import claim, clean, strings, text_batches
 
 MARK = "▁"
 #: Units, which no piece crosses: a mark and its word; where no piece joins a letter to a stop, the stops behind a word are
@@ -122,12 +122,12 @@ class Lattices:
         begin = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         row = coded.indices.to_numpy().astype(np.int64)
-        keys = [MARK + w for w in coded.dictionary.to_pylist()]
-        known = list(map(self.unit.get, keys))  # a word that is one unit
-        self.again.update(k for k, node in zip(keys, known, strict=True) if node is not None)
+        keys = strings(coded.dictionary, MARK)
+        known = np.fromiter(map(self.unit.get, keys, repeat(-1)), np.int64, len(keys))  # a word that is one unit
+        self.again.update(compress(keys, (known >= 0).tolist()))
         alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         row[begin[alone]] = len(keys) + np.arange(len(alone))
-        cut = [(k, self.unit_form.findall(keys[k])) for k, node in enumerate(known) if node is None] + [(len(keys) + k, self.units(texts[d])) for k, d in enumerate(alone.tolist())]
+        cut = [(k, self.unit_form.findall(keys[k])) for k in np.flatnonzero(known < 0).tolist()] + [(len(keys) + k, self.units(texts[d])) for k, d in enumerate(alone.tolist())]
         fresh = set(chain.from_iterable(u for _, u in cut))
         self.learn(fresh)
         size = np.ones(len(keys) + len(alone), np.int64)
@@ -137,7 +137,7 @@ class Lattices:
         nodes = np.empty(int(size.sum()), np.int64)
         one = np.ones(len(size), bool)
         one[place] = False
-        nodes[start[one]] = [node for node in known if node is not None]
+        nodes[start[one]] = known[known >= 0]
         made = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(u for _, u in cut)), np.int64, int(size[place].sum()))
         inside = np.arange(len(made)) - np.repeat(np.cumsum(size[place]) - size[place], size[place])
         nodes[np.repeat(start[place], size[place]) + inside] = made
