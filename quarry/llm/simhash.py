@@ -316,6 +316,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
     links = near_links(stage, held.select("fp").distinct(), radius=1)
     crowd = components(stage, links).withColumnRenamed("node", "fp")
     keyed = stage.write(held.join(crowd, "fp", "left").select("id", F.coalesce("component", "fp").alias("key")).distinct())
+    total = keyed.count()
     sketch = nodes.select("id", "sketch")
 
     def sift(batches):
@@ -359,19 +360,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
         full = keyed.join(near.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")).join(nodes.select("id", "size"), "id")
         parts = full.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum("size").alias("w"))
         keys = parts.groupBy("key").agg(F.max(F.struct("k", "c", "w")).alias("m"), F.sum("k").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
-        return stage.write(full.join(keys.select("key", F.col("w").alias("all"), F.col("m.c").alias("major"), (F.col("w") - F.col("m.w")).alias("minor")), "key"))
+        keys = keys.select("key", "n", F.col("w").alias("all"), F.col("m.c").alias("major"), (F.col("w") - F.col("m.w")).alias("minor"))
+        return stage.write(join_groups(full, keys, "key", total).drop("n"))
 
     def solve(table: pa.Table) -> pa.Table:
         sets = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles")]
         links = block_links(*(table.column(c).to_numpy() for c in ("id", "c", "home")), sets, least)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.id").alias("b"))
-    found = verified(keyed.join(leader, "key").where("id != b"))
+    leader = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("m.id").alias("b"))
+    found = verified(join_groups(keyed, leader, "key", total).where("id != b"))
     rest = apart(components(stage, found))
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    hub = rest.join(degree, "id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "id", "c")).alias("m")).select("key", F.col("m.id").alias("b"), F.col("m.c").alias("of"))
-    found = found.unionByName(verified(rest.join(hub, "key").where("c != of")))
+    hub = rest.join(degree, "id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "id", "c")).alias("m"), F.count("*").alias("n")).select("key", "n", F.col("m.id").alias("b"), F.col("m.c").alias("of"))
+    found = found.unionByName(verified(join_groups(rest, hub, "key", rest.count()).where("c != of")))
     rest = apart(components(stage, found))
     high, wide = (F.ceil(F.col(c) / CELL).cast("int") for c in ("minor", "all"))
     row, col = F.pmod(F.xxhash64("id", F.lit(1)), high).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), wide).cast("int")
@@ -383,8 +385,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
     named = nodes.select("id", "digest", "head", "n").join(near, "id", "left")
     best = named.where("component is not null").groupBy("component").agg(F.min("head").alias("first"))
     more = stage.write(named.join(best, "component", "left").select("digest", "n", F.coalesce("first", "head").alias("first")).where("n > 1 or first != head"))
-    total = seen.count()
-    mine = stage.write(join_groups(seen.select("k", "o", "digest"), more.select("digest", "n", "first"), "digest", total).select("k", "o", (F.struct("k", "o") == F.col("first")).alias("kept")))
+    mine = stage.write(join_groups(seen.select("k", "o", "digest"), more.select("digest", "n", "first"), "digest", seen.count()).select("k", "o", (F.struct("k", "o") == F.col("first")).alias("kept")))
     twins = mine.where("kept").groupBy("k", "o").count().where("count > 1").select("k", "o")
     return mine.where("not kept").select("k", "o").distinct(), stage.write(twins)
 
