@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -50,6 +51,7 @@ def claim(name: str, release) -> None:
     if _holder[0] != name:
         if _holder[1]:
             _holder[1]()
+            trim()
         _holder[:] = [name, release]
 
 
@@ -104,6 +106,32 @@ def rolling(hashes: np.ndarray, width: int, mult: int = 0x9E3779B97F4A7C15) -> n
     return out ^ (out >> np.uint64(32))
 
 
+def trim() -> None:
+    """Hands freed memory back to the system; a worker lives on through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run, rows: int = 1_000):
+    """A function over Arrow batches that sees at most `rows` rows at a time, and trims what its task leaves behind."""
+
+    def sliced(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+
+    def task(batches):
+        try:
+            yield from run(sliced(batches))
+        finally:
+            trim()
+
+    return task
+
+
 def strings(values: pa.Array, lead: str = "") -> list[str]:
     """The strings of an array without nulls, each behind `lead`: joined by Arrow and cut at once, which is many times quicker than one by one."""
     if not len(values):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import Stage, claim, join_groups, rolling, shuffle_partitions
+from .common import Stage, claim, join_groups, lean, rolling, shuffle_partitions, trim
 
 WINDOW, PHRASE = 20, 6
 CODES, FIRST_CODE = 0xD7FF - 0x0800, 0x0800  # code points of one 16-bit unit that are no surrogates
@@ -200,7 +200,7 @@ def _pass(docs: DataFrame, stats: bool) -> DataFrame:
                 digests.append(hashlib.sha256(b" ".join(w)).digest()[:16] if len(w) >= WINDOW else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(digests, pa.binary())], names=["k", "o", "n_words", "digest"])
 
-    base = stage.write(rows.select("k", "o", body).mapInArrow(measure, "k long, o long, n_words long, digest binary"))
+    base = stage.write(rows.select("k", "o", body).mapInArrow(lean(measure), "k long, o long, n_words long, digest binary"))
     total = base.agg(F.count("*"), F.sum("n_words")).first()
     n = max(shuffle_partitions(spark), -(-(total[1] or 0) // SHARD_WORDS))
     # all but the first of equal word sequences
@@ -264,6 +264,8 @@ def _pass(docs: DataFrame, stats: bool) -> DataFrame:
             many = len(text.encode("utf-8", "surrogatepass").split())
             out.append(("", many, many, EMPTY if stats else None))
         whole = pa.concat_tables([table, copied])
+        del s, gone, off
+        trim()
         new = [pa.array([r[i] for r in out], t) for i, t in enumerate((whole.schema.field(body).type, pa.int64(), pa.int64(), pa.string()))]
         return pa.table({**{c: new[0] if c == body else whole.column(c) for c in cols}, "_n_words": new[1], "_n_removed": new[2], "_kept_sha256": new[3]})
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import clean
+from .common import clean, lean
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 SAMPLE_EVERY, SAMPLE_ROWS = 32, 4_096
@@ -179,4 +179,4 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array([cascade.keeps(Measures(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -22,7 +22,7 @@ from itertools import accumulate, groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import clean
+from .common import clean, lean
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -128,4 +128,4 @@ def redact_secrets(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
             cols[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

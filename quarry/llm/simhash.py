@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, claim, clean, components, join_groups
+from .common import Stage, claim, clean, components, join_groups, lean, trim
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SAMPLE = 131_072
@@ -191,10 +191,11 @@ def near_links(stage: Stage, distinct: DataFrame, radius: int = 3, leaf_rows: in
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = pdf["fp"].to_numpy(np.int64)
         links = leaf_links(fps.view(np.uint64), pdf["home"].to_numpy(bool), radius)
+        trim()
         a, b = (fps[[x[k] for x in links]] for k in (0, 1))
         return pd.DataFrame({"a": a, "b": b})
 
-    routed = distinct.select("fp").mapInArrow(send, "leaf long, fp long, home boolean")
+    routed = distinct.select("fp").mapInArrow(lean(send, 100_000), "leaf long, fp long, home boolean")
     return stage.write(routed.groupBy("leaf").applyInPandas(solve, "a long, b long"))
 
 
@@ -308,7 +309,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
             found = [views(t, shingle) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in found], t) for i, t in enumerate(kinds))], names=["k", "o", "digest", "fps", "sketch", "size"])
 
-    seen = stage.write(rows.select("k", "o", body).mapInArrow(run, "k long, o long, digest binary, fps array<long>, sketch binary, size long"))
+    seen = stage.write(rows.select("k", "o", body).mapInArrow(lean(run), "k long, o long, digest binary, fps array<long>, sketch binary, size long"))
     # one node for each distinct text; its number is fixed by the write
     folded = seen.groupBy("digest").agg(F.min(F.struct("k", "o")).alias("head"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fps", "sketch", "size")))
     nodes = stage.write(folded.withColumn("id", F.monotonically_increasing_id()))
@@ -328,7 +329,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
         both = pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketch.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
-        sifted = stage.write(both.mapInArrow(sift, "a long, b long, sure boolean"))
+        sifted = stage.write(both.mapInArrow(lean(sift), "a long, b long, sure boolean"))
         long = sifted.where("not sure").select("a", "b")
         sets = whole(long.select(F.explode(F.array("a", "b")).alias("id")))
         full = long.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
@@ -352,7 +353,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
 
         heads = nodes.join(ids.distinct(), "id", "left_semi").select("id", F.col("head.k").alias("k"), F.col("head.o").alias("o"))
-        return stage.write(rows.select("k", "o", body).join(heads, ["k", "o"]).select("id", body).mapInArrow(run, "id long, shingles array<long>"))
+        return stage.write(rows.select("k", "o", body).join(heads, ["k", "o"]).select("id", body).mapInArrow(lean(run), "id long, shingles array<long>"))
 
     def apart(near: DataFrame) -> DataFrame:
         """Crowds of two components or more, with each document's component, that of most, and the shingles in and beside it."""
@@ -363,6 +364,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[
 
     def solve(table: pa.Table) -> pa.Table:
         sets = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles")]
+        trim()
         links = block_links(*(table.column(c).to_numpy() for c in ("id", "c", "home")), sets, least)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
