@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import clean, lean
+from .common import claim, clean, lean
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 SAMPLE_EVERY, SAMPLE_ROWS = 32, 4_096
@@ -175,6 +175,7 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     at = docs.columns.index("text")
 
     def keep(batches):
+        claim("rules", None)
         cascade = Cascade(rules)
         for batch in batches:
             yield batch.filter(pa.array([cascade.keeps(Measures(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
