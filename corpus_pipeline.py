@@ -40,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with their ids as little-endian unsigned 32-bit integers."""
-    return packing.pack_documents(docs, BYTE_BPE, "bytes", end_id=0, cached_words=300_000)  # workers share memory with what earlier stages left
+    return packing.pack_documents(docs, BYTE_BPE, "bytes", end_id=0, cached_words=150_000)  # workers share memory with what earlier stages left
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("secret scans", secret_scan), ("packing", pack)]
