@@ -154,13 +154,27 @@ def media_label(c: Column | str) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[F.lower(_col(c))], F.upper(_col(c)))
 
 
-def format_bytes(c: Column | str) -> Column:
-    """ST13: 1024-based, one decimal unless whole, up to GB."""
-    n = _col(c).cast("double")
-    unit = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
-    value = n / F.pow(F.lit(1024.0), unit)
-    text = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.format_string("%.1f", value))
-    return F.concat(text, F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1))
+UNITS = ("B", "KB", "MB", "GB")
+
+
+def format_bytes(c: Column | str, top: str = "GB", half_even: bool = False) -> Column:
+    """ST13: whole bytes, 1024-based, one decimal unless whole, up to `top`; null stays null. Half a tenth goes up, or to the even tenth as in C's printf."""
+    n, last = _col(c).cast("long"), UNITS.index(top)
+
+    def shown(i: int) -> Column:
+        if not i:
+            return F.concat(n, F.lit(" B"))
+        value = n.cast("double") / 1024.0**i  # a power of two: this, the part behind the point and ten times that are exact
+        whole = F.floor(value)
+        tenths = (value - whole) * 10
+        tenths = (F.rint(tenths) if half_even else F.floor(tenths + 0.5)).cast("long")
+        digits = F.when(n % 1024**i == 0, whole.cast("string")).otherwise(F.concat(F.when(tenths == 10, whole + 1).otherwise(whole), F.lit("."), tenths % 10))
+        return F.concat(digits, F.lit(f" {UNITS[i]}"))
+
+    out = shown(last)
+    for i in reversed(range(last)):
+        out = F.when(n < 1024 ** (i + 1), shown(i)).otherwise(out)
+    return out
 
 
 def relative_time(seconds: Column | str, now: Column | int) -> Column:

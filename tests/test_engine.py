@@ -127,6 +127,24 @@ def test_relative_time_takes_every_branch(spark, tmp_path):
     assert got == {1: "just now", 3: "1m ago", 22: "56m ago", 23: "1h ago", 111: "23h ago", 112: "1d ago", 608: "29d ago", 609: "Dec 16, 2026", 3779: "Nov 15, 2023"}
 
 
+def test_format_bytes_matches_sql_at_odd_sizes(spark, tmp_path):
+    """Halves of a tenth, sizes about each unit and beyond the largest, beyond doubles, none, negative and null."""
+    import duckdb
+
+    from quarry.plans import catalog
+
+    top = (2**63 - 1) // 7
+    sizes = {u * k // 1024 + e for u in (1024, 1024**2, 1024**3, 1024**4, 2**53) for k in range(64, 4200, 64) for e in (-1, 0, 1)}
+    sizes |= {64 * k for k in range(600)} | {0, 1, -1, -5000, -top, top, top - 1, top - 2**20} | {top // 3 + 131_071 * k for k in range(200)}
+    rows = list(enumerate([*sorted(sizes), None]))
+    spark.createDataFrame(rows, "doc_id long, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(f"SELECT doc_id, size FROM ({catalog.oracle_sql()['format_bytes']})").fetchall())
+    got = {r.doc_id: r["size"] for r in catalog.queries()["format_bytes"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and {(dict(rows)[i], x, want[i]) for i, x in got.items() if x != want[i]} == set()
+
+
 def test_basename_dirname_labels_all_types(spark, sf):
     from quarry.plans import catalog, model
 

@@ -97,6 +97,11 @@ def test_names(spark):
     assert one(spark, text.csv_pairs("v"), "only,heads") == "" == source.csv_text("only,heads") == source.csv_text("")
 
 
+def test_format_bytes_as_shown_by_the_reference(spark):
+    sizes = [(0, "0 B"), (1023, "1023 B"), (1280, "1.3 KB"), (2049, "2.0 KB"), (1024**2 - 1, "1024.0 KB"), (1024**2, "1 MB"), (5 * 2**18, "1.3 MB"), (2**30, "1 GB"), (5 * 2**28, "1.3 GB"), (2**50, "1048576 GB"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n, _ in sizes], "v long").select(text.format_bytes("v")).collect()] == [t for _, t in sizes]
+
+
 @pytest.mark.parametrize(
     "body, want",
     [
